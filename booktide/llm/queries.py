@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, line_dedup, mixing, ngram_join, packing, sharding, topk, toxicity
+from . import chat, embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, sharding, topk, toxicity
 from .common import read
 
 SHARDS = 16
@@ -58,6 +58,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
