@@ -1,0 +1,209 @@
+"""Replay of order books from snapshots and sequenced deltas: one ordered pass for each market, in batch or as a stream."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from decimal import Decimal
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+OUT = "market string, at_ms long, kind string, reason string, from_ms long, seq long, bids string, asks string, relpath string, line int"
+#: Fixed value: a snapshot shows so many price levels of a side at most.
+LEVEL_CAP = 20
+
+
+class ReplayError(ValueError):
+    """A delta that no correct stream can hold."""
+
+
+@dataclass
+class Channel:
+    """One connection's book channel of a market."""
+
+    seq: int | None = None
+    trusted: bool = False
+    gap_from: int | None = None
+    orders: dict[str, dict[str, list]] = field(default_factory=dict)  # outcome -> order id -> [price, qty]
+    floor: dict[str, Decimal] = field(default_factory=dict)
+
+
+@dataclass
+class Market:
+    """State of a market over all its connections: transitions and gaps hold for each of them."""
+
+    channels: dict[str, Channel] = field(default_factory=dict)
+    lifecycle_seq: int = -1
+    status: str | None = None
+    transition_ms: int = -1
+    last_ms: int | None = None
+    trades: set[str] = field(default_factory=set)
+
+    def book(self, channel: Channel) -> tuple[str, str]:
+        """Both sides' levels as JSON, equal prices summed, the best first, what lies below a cut left out."""
+        out = []
+        for outcome in sorted(channel.orders):
+            total: dict[Decimal, int] = {}
+            for price, qty in channel.orders[outcome].values():
+                total[price] = total.get(price, 0) + qty
+            levels = sorted(((p, q) for p, q in total.items() if q > 0 and p >= channel.floor.get(outcome, Decimal(0))), reverse=True)
+            out.append(json.dumps([[str(p.normalize()), q] for p, q in levels]))
+        return (*out, "[]", "[]")[:2]
+
+    def apply(self, conn: str, at: int, ts: int, message: dict[str, Any], snapshot: bool) -> Iterator[tuple]:
+        """What one market's part of a frame tells: (kind, reason, from_ms, seq, bids, asks)."""
+        channel = self.channels.setdefault(conn, Channel())
+        life, book, trades = message.get("lifecycle"), message.get("book"), message.get("trades")
+        if snapshot and life is not None and life["seq"] > self.lifecycle_seq:
+            if self.lifecycle_seq >= 0 and any(c.trusted for c in self.channels.values()):
+                yield from self.distrust("lifecycle_missed", self.last_ms if self.last_ms is not None else at)
+            self.lifecycle_seq, self.status = life["seq"], life.get("status")
+            yield "lifecycle", self.status, None, life["seq"], None, None
+        if snapshot and book is not None:
+            yield from self.snapshot(channel, at, ts, book)
+        if not snapshot and book is not None:
+            yield from self.deltas(channel, at, book)
+        if not snapshot and life is not None:
+            for d in life["deltas"]:
+                if life["seq"] > self.lifecycle_seq:
+                    self.lifecycle_seq, self.status, self.transition_ms = life["seq"], d.get("status"), ts
+                    yield from self.distrust("lifecycle_reset", at)
+                    yield "lifecycle", self.status, None, life["seq"], None, None
+        for t in (trades or {}).get("deltas" if not snapshot else "trades", []):
+            if t["tradeId"] not in self.trades:
+                self.trades.add(t["tradeId"])
+                yield "trade", t["tradeId"], None, None, None, None
+
+    def distrust(self, reason: str, since: int) -> Iterator[tuple]:
+        for c in self.channels.values():
+            if c.trusted:
+                c.trusted, c.gap_from = False, since
+                yield "gap", reason, since, c.seq, None, None
+
+    def snapshot(self, channel: Channel, at: int, ts: int, book: dict[str, Any]) -> Iterator[tuple]:
+        if ts < self.transition_ms:
+            yield "probe", "superseded", None, book["seq"], None, None
+            return
+        orders = {o: {x["orderId"]: [Decimal(x["price"]), x["qty"]] for x in own} for o, own in book["orders"].items()}
+        if channel.trusted:
+            if book["seq"] < channel.seq:
+                yield "probe", "superseded", None, book["seq"], None, None
+                return
+            same = orders == {o: v for o, v in channel.orders.items() if o in orders} and channel.seq == book["seq"]
+            yield "probe", "confirmed" if same else "mismatch" if channel.seq == book["seq"] else "gap", None, book["seq"], None, None
+            if same:
+                self.last_ms = at
+                yield "evidence", "probe_confirmed", None, book["seq"], None, None
+                return
+            if book["seq"] > channel.seq:
+                yield "gap", "sequence_gap", self.last_ms, channel.seq, None, None
+                channel.gap_from = self.last_ms
+        elif channel.gap_from is not None:
+            yield "resync", None, channel.gap_from, book["seq"], None, None
+        if channel.trusted and channel.gap_from is not None:
+            yield "resync", None, channel.gap_from, book["seq"], None, None
+        channel.seq, channel.trusted, channel.gap_from = book["seq"], True, None
+        channel.orders = {**{o: {} for o in channel.orders}, **orders}
+        channel.floor = {o: min(p for p, _ in own.values()) for o, own in orders.items() if len({p for p, _ in own.values()}) >= LEVEL_CAP}
+        yield from self.emit(channel, at)
+
+    def deltas(self, channel: Channel, at: int, book: dict[str, Any]) -> Iterator[tuple]:
+        if not channel.trusted or book["seq"] <= channel.seq:
+            return
+        if book["seq"] != channel.seq + 1:
+            channel.trusted, channel.gap_from = False, self.last_ms
+            yield "gap", "sequence_gap", self.last_ms, channel.seq, None, None
+            return
+        for d in book["deltas"]:
+            self.order(channel, d)
+        channel.seq = book["seq"]
+        yield from self.emit(channel, at)
+
+    def order(self, channel: Channel, d: dict[str, Any]) -> None:
+        own = channel.orders.setdefault(d["outcomeId"], {})
+        kind, known = d["kind"], own.get(d["orderId"])
+        cut = d["outcomeId"] in channel.floor
+        if kind == "add":
+            if known:
+                raise ReplayError(f"order {d['orderId']} is there already")
+            own[d["orderId"]] = [Decimal(d["price"]), d["qty"]]
+        elif kind == "update":
+            if known is None and not cut or known is not None and d["qty"] >= known[1]:
+                raise ReplayError(f"order {d['orderId']} cannot be updated")
+            if known is not None:
+                known[1] = d["qty"]
+        elif kind == "remove" and d.get("reason") in ("fill", "cancel"):
+            if known is None and not cut:
+                raise ReplayError(f"order {d['orderId']} is not there")
+            own.pop(d["orderId"], None)
+        else:
+            raise ReplayError(f"no such delta: {kind} {d.get('reason')}")
+
+    def emit(self, channel: Channel, at: int) -> Iterator[tuple]:
+        self.last_ms = at
+        if len(channel.orders) == 2:
+            yield "book", "incomplete" if channel.floor else None, None, channel.seq, *self.book(channel)
+
+
+def parts(frames: DataFrame) -> DataFrame:
+    """Frames (relpath, line, recv_ts_ms, conn_id, frame) as one row for each market in them, in their order: snapshots, then deltas."""
+    kind = "struct<ts:bigint,snapshot:map<string,string>,delta:map<string,string>>"
+    x = frames.where("dir = 'in'").withColumn("m", F.from_json("frame", kind))
+    entry = lambda n: F.transform(F.map_entries(F.coalesce(f"m.{n}", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lit(n).alias("part"), e.key.alias("market"), e.value.alias("message")))
+    return x.select("relpath", "line", "recv_ts_ms", "conn_id", F.col("m.ts").alias("ts"), F.posexplode(F.concat(entry("snapshot"), entry("delta"))).alias("pos", "e")).select("*", "e.*").drop("e")
+
+
+def replay_rows(state: Market, rows: pd.DataFrame, market: str) -> list[tuple]:
+    out = []
+    for r in rows.itertuples():
+        for told in state.apply(r.conn_id, r.recv_ts_ms, r.ts, json.loads(r.message), r.part == "snapshot"):
+            out.append((market, r.recv_ts_ms, *told, r.relpath, r.line))
+    return out
+
+
+def replay(market_parts: DataFrame) -> DataFrame:
+    """Books, gaps, resyncs, probe checks, transitions and trades of each market, from all of its connections in order of receipt."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = replay_rows(Market(), pdf.sort_values(["recv_ts_ms", "relpath", "line", "pos"]), key[0])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    return market_parts.groupBy("market").applyInPandas(one, OUT)
+
+
+def writer_rows(books: DataFrame, snapshot_ms: int = 300_000) -> DataFrame:
+    """Ticks and evidence from books (market, at_ms, bids, asks): a change of the top of the book is a tick, an equal one evidence; a full
+    snapshot is due when so long has passed since the last one that was written."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, before, last = [], None, None
+        for r in pdf.sort_values(["at_ms", "relpath", "line"]).itertuples():
+            top = tuple(json.dumps(json.loads(x)[:10]) for x in (r.bids, r.asks))
+            rows.append((key[0], r.at_ms, "tick" if top != before else "delta_unchanged"))
+            if last is None or r.at_ms - last >= snapshot_ms:
+                rows.append((key[0], r.at_ms, "subscribe" if last is None else "periodic"))
+                last = r.at_ms
+            before = top
+        return pd.DataFrame(rows, columns=["market", "at_ms", "kind"])
+
+    return books.groupBy("market").applyInPandas(one, "market string, at_ms long, kind string")
+
+
+def replay_stream(market_parts: DataFrame) -> DataFrame:
+    """The same over a streaming DataFrame of parts: state of a market is kept as one JSON-free pickle between batches."""
+    import pickle
+
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        market = pickle.loads(state.get[0]) if state.exists else Market()
+        pdf = pd.concat(list(batches)).sort_values(["recv_ts_ms", "relpath", "line", "pos"])
+        rows = replay_rows(market, pdf, key[0])
+        state.update((pickle.dumps(market),))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    return market_parts.groupBy("market").applyInPandasWithState(step, OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
