@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, line_dedup, mixing, ngram_join, packing, pii, sharding, topk, toxicity
+from . import chat, embedding_dedup, line_dedup, mixing, ngram_join, oracle, packing, pii, sharding, topk, toxicity
 from .common import read
 
 SHARDS = 16
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those of the queries that SQL can express."""
-    return {}
+    return dict(oracle.SQL)
