@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import e4, price_e4
 
-BODY = F.col("body.frame")
+BODY = "body.frame"
 
 
 def order_book(exchanges: DataFrame) -> DataFrame:
