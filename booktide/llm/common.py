@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -48,12 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written as a table to the shared folder and read back: lineage ends here, each later read sees the same rows, and a lost executor costs nothing but its running tasks. The folder goes when the program ends."""
+def kept(df: DataFrame, release: bool = False) -> DataFrame:
+    """df written as a table to the shared folder and read back: lineage ends here, each later read sees the same rows, and a lost executor costs nothing but its running tasks. The folder goes when the program ends. release: also ask the driver to let go of the shuffle files of what has been written, which else stay until it collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/booktide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append((spark, path))
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

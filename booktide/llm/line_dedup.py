@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, components, kept
@@ -13,24 +13,37 @@ from .common import bounded, components, kept
 CHARS, SIMILARITY = 8, 0.8
 #: Bands and rows of the signature: a pair at 0.8 shares a band with a chance of 1 - (1 - 0.8**5)**12 = 0.991.
 BANDS, ROWS = 12, 5
-#: A run of this many characters without a space starts another sampled shingle, for scripts without spaces.
+#: Of the 60 least hashes, by their low bits, so many must agree before a pair is compared exactly. At 0.8 about 48 do; fewer are asked for, as sampled shingles can be less alike than all are.
+AGREE = 34
+#: Rows of a single long that may be broadcast (16 MB).
+WANTED_ROWS = 1_000_000
+#: Lines whose words are longer than this on average, as in scripts without spaces, are signed by all their shingles.
 LONGEST_RUN = 16
 
 
-def spaced(line: Column) -> Column:
-    """A line as it is compared: lower case, white space as single spaces, one before the first word."""
-    return F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(line, r"\s+", " "))))
+def spaced(lines: DataFrame, line: str, out: str) -> DataFrame:
+    """lines with the line as it is compared: lower case, white space (ASCII) as single spaces, one before the first word."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(line, F.lit(c))
+    return lines.withColumn(out, F.when(odd, F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " ")).otherwise(F.col(line))).withColumn(out, F.concat(F.lit(" "), F.lower(F.trim(F.col(out)))))
 
 
-def _sampled(line: Column) -> Column:
-    """The shingles from which signatures are made: those at a word's start, or a long word's next run; a short end counts as one."""
-    start = rf"(?<=\s)|(?<=\s\S{{{LONGEST_RUN}}})|(?<=\s\S{{{2 * LONGEST_RUN}}})|(?<=\s\S{{{3 * LONGEST_RUN}}})"
-    return F.regexp_extract_all(line, F.lit(rf"(?:{start})(?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1))
+def _every(line: Column) -> Column:
+    """All shingles of a line; a shorter line is its own."""
+    return F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))
 
 
-def _shingles(line: Column) -> Column:
-    """All shingles of a line, as a set; a shorter line is its own."""
-    return F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1))))
+def _sampled(lines: DataFrame, line: str) -> DataFrame:
+    """A row s for each shingle from which signatures are made: those that start a word; all, where words are long or there are no spaces."""
+    at_words = lines.withColumn("_s", F.regexp_extract_all(line, F.lit(rf" (?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1)))
+    few = F.size("_s") * LONGEST_RUN < F.length(line)
+    return at_words.withColumn("_s", F.when(few, _every(F.col(line))).otherwise(F.col("_s"))).withColumn("s", F.explode_outer("_s")).drop("_s")
+
+
+def _set(lines: DataFrame, line: str, out: str) -> DataFrame:
+    """lines with the set of all shingles of a line, as hashes."""
+    return spaced(lines, line, "_l").withColumn(out, F.array_distinct(F.transform(_every(F.col("_l")), lambda x: F.xxhash64(x)))).drop("_l")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -45,27 +58,30 @@ def line_groups(docs: DataFrame) -> DataFrame:
 
     Lines of equal text are one. The signature is the least hash of the sampled shingles under BANDS * ROWS orders. Lines that share a
     band are compared with the band's smallest and its largest line, so a band of any size gives candidates in proportion to its lines; a
-    link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id and place.
+    link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
     masks = [random.Random(k).getrandbits(63) for k in range(BANDS * ROWS)]
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
-    sampled = lines.select("h", "h2", "at", "n", F.explode_outer(_sampled(spaced(F.col("line")))).alias("s")).select("h", "h2", "at", "n", F.xxhash64("s").alias("x"))
+    sampled = _sampled(spaced(lines, "line", "line"), "line").select("h", "h2", "at", "n", F.xxhash64("s").alias("x"))
     least = sampled.groupBy("h", "h2").agg(
         F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
         *(F.min(F.col("x").bitwiseXOR(m)).alias(f"m{k}") for k, m in enumerate(masks)),
     )
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands")))
-
-    banded = signed.select("h", F.explode("bands").alias("band"))
-    shared = kept(banded.groupBy("band").agg(F.min("h").alias("first"), F.max("h").alias("last")).where("first < last"))
-    near = banded.join(bounded(shared), "band").select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
-    pairs = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands"), F.array(*(F.col(f"m{k}").bitwiseAND(15).cast("byte") for k in range(BANDS * ROWS))).alias("low")), release=True)
+
+    own = Window.partitionBy("band")
+    banded = signed.select("h", F.explode("bands").alias("band")).withColumns({"first": F.min("h").over(own), "last": F.max("h").over(own)})
+    near = banded.where("first < last").select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
+    near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    low = lambda h, s: signed.select(F.col("h").alias(h), F.col("low").alias(s))
+    agree = F.size(F.filter(F.zip_with("p", "q", lambda x, y: x == y), lambda x: x))
+    pairs = kept(near.join(low("a", "p"), "a").join(low("b", "q"), "b").where(agree >= AGREE).select("a", "b"), release=True)
     wanted = kept(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.least(F.length("p"), F.length("q")) >= SIMILARITY / 2 * F.greatest(F.length("p"), F.length("q")))
-    sets = both.select("a", "b", _shingles(spaced(F.col("p"))).alias("x"), _shingles(spaced(F.col("q"))).alias("y"))
+    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", "x", "y")
     common = F.size(F.array_intersect("x", "y"))
     links = sets.withColumn("c", common).where(F.col("c") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b")
 
