@@ -15,6 +15,8 @@ CHARS, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 5
 #: Of the 60 least hashes, by their low bits, so many must agree before a pair is compared exactly. At 0.8 about 48 do; fewer are asked for, as sampled shingles can be less alike than all are.
 AGREE = 34
+#: Shingles that are taken at a time: their least hash is found before the row goes into the aggregate.
+CHUNK = 4
 #: Rows of a single long that may be broadcast (16 MB).
 WANTED_ROWS = 1_000_000
 #: Lines whose words are longer than this on average, as in scripts without spaces, are signed by all their shingles.
@@ -35,10 +37,10 @@ def _every(line: Column) -> Column:
 
 
 def _sampled(lines: DataFrame, line: str) -> DataFrame:
-    """A row s for each shingle from which signatures are made: those that start a word; all, where words are long or there are no spaces."""
+    """lines with the array s of the shingles from which signatures are made: those that start a word; all, where words are long or there are no spaces. It is never empty."""
     at_words = lines.withColumn("_s", F.regexp_extract_all(line, F.lit(rf" (?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1)))
     few = F.size("_s") * LONGEST_RUN < F.length(line)
-    return at_words.withColumn("_s", F.when(few, _every(F.col(line))).otherwise(F.col("_s"))).withColumn("s", F.explode_outer("_s")).drop("_s")
+    return at_words.withColumn("_s", F.when(few, _every(F.col(line))).otherwise(F.col("_s"))).withColumnRenamed("_s", "s")
 
 
 def _set(lines: DataFrame, line: str, out: str) -> DataFrame:
@@ -47,9 +49,12 @@ def _set(lines: DataFrame, line: str, out: str) -> DataFrame:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line that is not blank: doc_id, row (a hash that tells documents apart), pos, line, and two hashes of the line."""
+    """A row for each line that is not blank: doc_id, row (a hash that tells documents apart), pos, line, and two hashes of the line.
+
+    The outer form spares the filter on the array that Catalyst puts below the other one, which splits each text once more.
+    """
     row = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    lines = docs.select("doc_id", row.alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.length(F.trim(F.col("line"))) > 0)
+    lines = docs.select("doc_id", row.alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.length(F.trim(F.col("line"))) > 0)
     return lines.select("doc_id", "row", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
@@ -62,16 +67,19 @@ def line_groups(docs: DataFrame) -> DataFrame:
     """
     masks = [random.Random(k).getrandbits(63) for k in range(BANDS * ROWS)]
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
-    sampled = _sampled(spaced(lines, "line", "line"), "line").select("h", "h2", "at", "n", F.xxhash64("s").alias("x"))
-    least = sampled.groupBy("h", "h2").agg(
+    own = ["h", "h2", "at", "n"]
+    sampled = _sampled(spaced(lines, "line", "line"), "line").select(*own, "s", (F.size("s") - 1).alias("top"))
+    chunks = sampled.select(*own, "s", "top", F.explode_outer(F.sequence(F.lit(0), "top", F.lit(CHUNK))).alias("i"))
+    hashed = chunks.select(*own, *(F.xxhash64(F.get("s", F.least(F.col("i") + k, "top"))).alias(f"x{k}") for k in range(CHUNK)))
+    least = hashed.groupBy("h", "h2").agg(
         F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
-        *(F.min(F.col("x").bitwiseXOR(m)).alias(f"m{k}") for k, m in enumerate(masks)),
+        *(F.min(F.least(*(F.col(f"x{c}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
     )
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands"), F.array(*(F.col(f"m{k}").bitwiseAND(15).cast("byte") for k in range(BANDS * ROWS))).alias("low")), release=True)
 
-    own = Window.partitionBy("band")
-    banded = signed.select("h", F.explode("bands").alias("band")).withColumns({"first": F.min("h").over(own), "last": F.max("h").over(own)})
+    of_band = Window.partitionBy("band")
+    banded = signed.select("h", F.explode("bands").alias("band")).withColumns({"first": F.min("h").over(of_band), "last": F.max("h").over(of_band)})
     near = banded.where("first < last").select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
     near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
     low = lambda h, s: signed.select(F.col("h").alias(h), F.col("low").alias(s))
@@ -81,9 +89,10 @@ def line_groups(docs: DataFrame) -> DataFrame:
     texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.least(F.length("p"), F.length("q")) >= SIMILARITY / 2 * F.greatest(F.length("p"), F.length("q")))
-    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", "x", "y")
-    common = F.size(F.array_intersect("x", "y"))
-    links = sets.withColumn("c", common).where(F.col("c") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("c"))).select("a", "b")
+    # Sets and their intersection come out of generators, so that the filter uses what they made; else it makes each set again for each mention.
+    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", F.explode_outer(F.array(F.struct("x", "y"))).alias("s"))
+    sizes = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("c"))
+    links = sizes.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
 
     group = kept(components(links))
     grouped = signed.join(bounded(group), F.col("h") == F.col("id"), "left").select("h", "n", "at", F.coalesce("component", "h").alias("g"), F.col("component").isNotNull().alias("many"))
