@@ -13,14 +13,12 @@ from .common import bounded, components, kept
 CHARS, SIMILARITY = 8, 0.8
 #: Bands and rows of the signature: a pair at 0.8 shares a band with a chance of 1 - (1 - 0.8**5)**12 = 0.991.
 BANDS, ROWS = 12, 5
-#: Of the 60 least hashes, by their low bits, so many must agree before a pair is compared exactly. At 0.8 about 48 do; fewer are asked for, as sampled shingles can be less alike than all are.
-AGREE = 34
 #: Shingles that are taken at a time: their least hash is found before the row goes into the aggregate.
 CHUNK = 4
+#: Bits by which hashes are turned from band to band, so that bands order the shingles independently; inside a band masks do.
+TURN = 5
 #: Rows of a single long that may be broadcast (16 MB).
 WANTED_ROWS = 1_000_000
-#: Lines whose words are longer than this on average, as in scripts without spaces, are signed by all their shingles.
-LONGEST_RUN = 16
 
 
 def spaced(lines: DataFrame, line: str, out: str) -> DataFrame:
@@ -36,11 +34,9 @@ def _every(line: Column) -> Column:
     return F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))
 
 
-def _sampled(lines: DataFrame, line: str) -> DataFrame:
-    """lines with the array s of the shingles from which signatures are made: those that start a word; all, where words are long or there are no spaces. It is never empty."""
-    at_words = lines.withColumn("_s", F.regexp_extract_all(line, F.lit(rf" (?=(\S.{{0,{CHARS - 1}}}))"), F.lit(1)))
-    few = F.size("_s") * LONGEST_RUN < F.length(line)
-    return at_words.withColumn("_s", F.when(few, _every(F.col(line))).otherwise(F.col("_s"))).withColumnRenamed("_s", "s")
+def _turned(x: Column, bits: int) -> Column:
+    """A long with its bits turned to the left."""
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
 
 
 def _set(lines: DataFrame, line: str, out: str) -> DataFrame:
@@ -58,41 +54,44 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
+def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of hashes of lines whose sets of all shingles link."""
+    wanted = kept(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
+    texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
+    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.least(F.length("p"), F.length("q")) >= SIMILARITY / 2 * F.greatest(F.length("p"), F.length("q")))
+    # Sets and their intersection come out of generators, so that the filter uses what they made; else it makes each set again for each mention.
+    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", F.explode_outer(F.array(F.struct("x", "y"))).alias("s"))
+    sizes = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("c"))
+    return sizes.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """The distinct lines that repeat or link: h (hash of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
-    Lines of equal text are one. The signature is the least hash of the sampled shingles under BANDS * ROWS orders. Lines that share a
+    Lines of equal text are one. The signature is the least hash of all shingles under BANDS * ROWS orders. Lines that share a
     band are compared with the band's smallest and its largest line, so a band of any size gives candidates in proportion to its lines; a
     link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
-    masks = [random.Random(k).getrandbits(63) for k in range(BANDS * ROWS)]
+    masks = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS * ROWS)]
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
     own = ["h", "h2", "at", "n"]
-    sampled = _sampled(spaced(lines, "line", "line"), "line").select(*own, "s", (F.size("s") - 1).alias("top"))
-    chunks = sampled.select(*own, "s", "top", F.explode_outer(F.sequence(F.lit(0), "top", F.lit(CHUNK))).alias("i"))
+    shingled = spaced(lines, "line", "line").select(*own, _every(F.col("line")).alias("s")).select(*own, "s", (F.size("s") - 1).alias("top"))
+    chunks = shingled.select(*own, "s", "top", F.explode_outer(F.sequence(F.lit(0), "top", F.lit(CHUNK))).alias("i"))
     hashed = chunks.select(*own, *(F.xxhash64(F.get("s", F.least(F.col("i") + k, "top"))).alias(f"x{k}") for k in range(CHUNK)))
-    least = hashed.groupBy("h", "h2").agg(
+    turned = hashed.select(*own, *(_turned(F.col(f"x{k}"), b * TURN).alias(f"x{k}_{b}") for k in range(CHUNK) for b in range(BANDS)))
+    least = turned.groupBy("h", "h2").agg(
         F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
-        *(F.min(F.least(*(F.col(f"x{c}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
+        *(F.min(F.least(*(F.col(f"x{c}_{k // ROWS}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
     )
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands"), F.array(*(F.col(f"m{k}").bitwiseAND(15).cast("byte") for k in range(BANDS * ROWS))).alias("low")), release=True)
+    signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands")), release=True)
 
     of_band = Window.partitionBy("band")
     banded = signed.select("h", F.explode("bands").alias("band")).withColumns({"first": F.min("h").over(of_band), "last": F.max("h").over(of_band)})
     near = banded.where("first < last").select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
     near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
-    low = lambda h, s: signed.select(F.col("h").alias(h), F.col("low").alias(s))
-    agree = F.size(F.filter(F.zip_with("p", "q", lambda x, y: x == y), lambda x: x))
-    pairs = kept(near.join(low("a", "p"), "a").join(low("b", "q"), "b").where(agree >= AGREE).select("a", "b"), release=True)
-    wanted = kept(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
-    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.least(F.length("p"), F.length("q")) >= SIMILARITY / 2 * F.greatest(F.length("p"), F.length("q")))
-    # Sets and their intersection come out of generators, so that the filter uses what they made; else it makes each set again for each mention.
-    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", F.explode_outer(F.array(F.struct("x", "y"))).alias("s"))
-    sizes = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("c"))
-    links = sizes.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+    links = _linked(near, docs)
 
     group = kept(components(links))
     grouped = signed.join(bounded(group), F.col("h") == F.col("id"), "left").select("h", "n", "at", F.coalesce("component", "h").alias("g"), F.col("component").isNotNull().alias("many"))
