@@ -59,7 +59,7 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = kept(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
     texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
     side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
-    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where(F.least(F.length("p"), F.length("q")) >= SIMILARITY / 2 * F.greatest(F.length("p"), F.length("q")))
+    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
     # Sets and their intersection come out of generators, so that the filter uses what they made; else it makes each set again for each mention.
     sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", F.explode_outer(F.array(F.struct("x", "y"))).alias("s"))
     sizes = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("c"))

@@ -26,3 +26,7 @@ def _planted(n, words, boilerplate=""):
 def test_line_dedup_signs_all_shingles(spark):
     got = _kept(spark, _planted(300, 10))
     assert sum(got[k] == 0 for k in range(1, 600, 2)) >= 294 and all(got[k] == 1 for k in range(0, 600, 2))
+
+
+def test_line_dedup_lengths(spark):
+    assert _kept(spark, ["some text", " " * 60 + "some text", "-" * 20, "-" * 80, "again and " * 3, "again and " * 30]) == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
