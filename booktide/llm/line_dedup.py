@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, components, kept
@@ -87,10 +87,12 @@ def line_groups(docs: DataFrame) -> DataFrame:
     bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
     signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands")), release=True)
 
-    of_band = Window.partitionBy("band")
-    banded = signed.select("h", F.explode("bands").alias("band")).withColumns({"first": F.min("h").over(of_band), "last": F.max("h").over(of_band)})
-    near = banded.where("first < last").select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
-    near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct())
+    banded = signed.select("h", F.explode("bands").alias("band"))
+    shared = kept(banded.groupBy("band").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
+    inside = banded.join(bounded(kept(shared.select("band")), WANTED_ROWS), "band", "left_semi")
+    members = kept(inside.join(bounded(shared), "band"), release=True)
+    near = members.select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
+    near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), release=True)
     links = _linked(near, docs)
 
     group = kept(components(links))

@@ -30,3 +30,11 @@ def test_line_dedup_signs_all_shingles(spark):
 
 def test_line_dedup_lengths(spark):
     assert _kept(spark, ["some text", " " * 60 + "some text", "-" * 20, "-" * 80, "again and " * 3, "again and " * 30]) == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
+
+
+def test_line_dedup_bands_without_window(spark, monkeypatch):
+    docs, plans = spark.createDataFrame([(k, f"{'the same long line ' * 5}{k}") for k in range(50)], "doc_id long, text string"), []
+    kept = line_dedup.kept
+    monkeypatch.setattr(line_dedup, "kept", lambda df, release=False: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, release))[1])
+    line_dedup.dedup_lines(docs).count()
+    assert plans and not any("Window" in p for p in plans)
