@@ -17,6 +17,8 @@ BANDS, ROWS = 12, 5
 CHUNK = 4
 #: Bits by which hashes are turned from band to band, so that bands order the shingles independently; inside a band masks do.
 TURN = 5
+#: Lines of a band that are paired at once; larger bands are dealt out as pairs of blocks.
+BLOCK = 512
 #: Rows of a single long that may be broadcast (16 MB).
 WANTED_ROWS = 1_000_000
 
@@ -66,12 +68,30 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sizes.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
 
 
+def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that share a band and are in different components of groups, each once.
+
+    members has h, band and the band's n lines, of which the smallest and the largest hash have been compared with all others; so bands of
+    up to three lines are done. Large bands are dealt out as pairs of blocks: rows dealt and pairs grow with the square of such a band.
+    """
+    named = members.where("n > 3").join(bounded(groups), F.col("h") == F.col("id"), "left").select("h", "band", "n", F.coalesce("component", "h").alias("g"))
+    named = kept(named)
+    mixed = named.groupBy("band").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("band")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = named.join(bounded(kept(mixed), WANTED_ROWS), "band", "left_semi").withColumn("side", F.pmod(F.xxhash64("h"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = kept(dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "h", "g", "side"))
+    one = lambda h, g, s: dealt.select("band", "i", "j", F.col("h").alias(h), F.col("g").alias(g), F.col("side").alias(s))
+    both = one("a", "ga", "sa").hint("merge").join(one("b", "gb", "sb"), ["band", "i", "j"])
+    return kept(both.where("a < b and ga <> gb and (i = j or sa <> sb)").select("a", "b").distinct(), release=True)
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """The distinct lines that repeat or link: h (hash of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
     Lines of equal text are one. The signature is the least hash of all shingles under BANDS * ROWS orders. Lines that share a
-    band are compared with the band's smallest and its largest line, so a band of any size gives candidates in proportion to its lines; a
-    link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
+    band are first compared with the band's smallest and its largest line, which joins large groups of near copies along stars; then all
+    pairs of a band that are not in one component yet (see _open_pairs). A link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
     masks = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS * ROWS)]
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
@@ -93,9 +113,10 @@ def line_groups(docs: DataFrame) -> DataFrame:
     members = kept(inside.join(bounded(shared), "band"), release=True)
     near = members.select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
     near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), release=True)
-    links = _linked(near, docs)
+    links = kept(_linked(near, docs))
+    more = _linked(_open_pairs(members, kept(components(links))), docs)
 
-    group = kept(components(links))
+    group = kept(components(links.union(more)))
     grouped = signed.join(bounded(group), F.col("h") == F.col("id"), "left").select("h", "n", "at", F.coalesce("component", "h").alias("g"), F.col("component").isNotNull().alias("many"))
     open_ = kept(grouped.where("n > 1 or many"))
     keep = kept(open_.groupBy("g").agg(F.min("at").alias("keep")))

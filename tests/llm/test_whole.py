@@ -38,3 +38,15 @@ def test_line_dedup_bands_without_window(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "kept", lambda df, release=False: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, release))[1])
     line_dedup.dedup_lines(docs).count()
     assert plans and not any("Window" in p for p in plans)
+
+
+def test_line_dedup_all_pairs_of_a_band(spark):
+    got = _kept(spark, _planted(150, 6, " ".join(f"common{k}" for k in range(20)) + " "))
+    assert sum(got[k] == 0 for k in range(1, 300, 2)) >= 148
+
+
+def test_line_dedup_open_pairs(spark):
+    members = spark.createDataFrame([(h, 7, 5) for h in range(1, 6)] + [(h, 8, 3) for h in range(1, 4)], "h long, band long, n long")
+    groups = spark.createDataFrame([(1, 1), (5, 1)], "id long, component long")
+    got = {(r.a, r.b) for r in line_dedup._open_pairs(members, groups).collect()}
+    assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 5)}
