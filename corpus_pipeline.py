@@ -20,9 +20,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links of word n-grams stays: the smallest doc_id. Repeated rows of it stay once."""
-    groups = ngram_join.jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(bounded(kept(groups)), "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of links of word n-grams stays: one with the smallest doc_id (null after all others). Texts without words all stay.
+
+    Rows are told apart by a number of their own, so repeated rows, null ids and ids with several texts are judged by their text alone.
+    """
+    rows = kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = kept(ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id"))
+    many = kept(groups.where("_row <> component_id").select("component_id").distinct())
+    placed = kept(groups.join(bounded(many), "component_id").join(rows.select("_row", "doc_id"), "_row"))
+    stays = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = kept(placed.select("_row").join(stays, "_row", "left_anti"))
+    return rows.join(bounded(gone), "_row", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

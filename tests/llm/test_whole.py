@@ -1,7 +1,9 @@
 """Whole jobs: cases that samples, caps and filters have lost."""
 
 import random
+from collections import Counter
 
+import corpus_pipeline
 from booktide.llm import line_dedup
 
 
@@ -50,3 +52,10 @@ def test_line_dedup_open_pairs(spark):
     groups = spark.createDataFrame([(1, 1), (5, 1)], "id long, component long")
     got = {(r.a, r.b) for r in line_dedup._open_pairs(members, groups).collect()}
     assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 5)}
+
+
+def test_near_copies_by_row(spark):
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, text), (1, text), (None, text), (2, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)])
