@@ -45,20 +45,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return share.select("_group", "source_size", F.when(F.col("rate").isNull(), F.col("cap").cast("double")).otherwise(F.col("rate") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column, size: Column | None = None, key: str = "doc_id", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weight: Column, size: Column | None = None, key: str = "doc_id", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of each row: doc_id, size, source_size, target, taken. The size is words("text") unless given.
 
     A source first gives all its rows as often as its target holds them whole. For the rest its rows are put in order of
     -ln(u) / weight, u a hash of the id in (0, 1): an order in which each row comes next with a chance in proportion to its weight. Rows
     are taken while the middle of a row lies below the rest, so the sum misses the target by half a row at most. Null or non-positive
     weights come last; a null text has size 0 and is taken 0 times; a null source is a source; repeated rows are rows of their own.
-    Reruns agree, for u comes from the id alone. Other columns of docs play no part.
+    Reruns agree, for u comes from the id alone. Other columns of docs play no part; those named in carry are
+    added to the output.
     """
     u = (long_of(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 13)) + 0.5) / float(2**52)
     rows = kept(
         docs.select(
             F.col(key).alias("doc_id"), (words() if size is None else size).alias("size"), group_of(source).alias("_group"),
-            F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf"))).alias("_key"),
+            F.when(weight > 0, -F.ln(u) / weight).otherwise(F.lit(float("inf"))).alias("_key"), *carry,
         )
     )
     goal = kept(targets(rows.groupBy("_group").agg(F.sum("size").alias("source_size"))))
@@ -66,4 +67,4 @@ def mix(docs: DataFrame, weight: Column, size: Column | None = None, key: str =
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_EPOCHS))).otherwise(0).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     once = F.when((epochs < MOST_EPOCHS) & (F.col("before") + F.col("size") / 2 < rest), 1).otherwise(0)
-    return placed.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("size") * (epochs + once)).cast("long").alias("taken"))
+    return placed.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("size") * (epochs + once)).cast("long").alias("taken"), *carry)

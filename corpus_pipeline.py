@@ -35,10 +35,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: each document as often as it is taken, at most three times; documents without words are never taken."""
-    rows = docs.select("doc_id", "source", mixing.words().alias("size"))
-    taken = mixing.mix(queries.quality(spark, sf_dir, rows), F.col("_weight"), F.col("size")).where("taken > 0")
-    times = kept(taken.groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times")))
-    return docs.join(bounded(times), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    numbered = kept(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered.select("_row", "doc_id", "source", mixing.words().alias("size"))
+    taken = mixing.mix(queries.quality(spark, sf_dir, rows), F.col("_weight"), F.col("size"), carry=("_row",)).where("taken > 0")
+    times = kept(taken.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times")))
+    return numbered.join(bounded(times), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from booktide.llm import line_dedup
 
@@ -59,3 +61,12 @@ def test_near_copies_by_row(spark):
     rows = [(1, text), (1, text), (None, text), (2, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)])
+
+
+def test_mix_by_row(spark, tmp_path):
+    spark.createDataFrame([(9, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(None, "a b c", "s0"), (1, "a b", "s0"), (1, "a b c d e f", "s0"), (2, "x y z", "s1"), (3, "x y", "s1"), (None, "q", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
+    mixed = corpus_pipeline.mixing.mix(corpus_pipeline.queries.quality(spark, str(tmp_path), docs), F.col("_weight"), carry=("text",)).collect()
+    assert got == Counter({(r.doc_id, r.text): r.taken // r.size for r in mixed if r.taken}) and any(k is None for k, _ in got)
