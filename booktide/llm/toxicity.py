@@ -53,7 +53,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> np.ndarr
     """Weights from docs (doc_id, text) and labels (doc_id, toxic), without the held-out rows.
 
     An id with several labels counts as toxic if one says so; null ids and labels are left out. Without labels all weights are 0, so that
-    each score is 0.5 and nothing is rejected but by that rule. The sample (MOST_ROWS of about 6 KB each) is fitted in one task.
+    each score is 0.5 (see clean). The sample (MOST_ROWS of about 6 KB each) is fitted in one task.
     """
     usable = kept(labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
@@ -101,7 +101,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def clean(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of docs, whole, whose text scores below 0.5."""
+    """The rows of docs, whole, whose text scores below 0.5; all rows if nothing was learnt (all weights are 0)."""
+    if not weights.any():
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from booktide.llm import line_dedup
+from booktide.llm import line_dedup, toxicity
 
 
 def _kept(spark, texts):
@@ -70,3 +70,9 @@ def test_mix_by_row(spark, tmp_path):
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect())
     mixed = corpus_pipeline.mixing.mix(corpus_pipeline.queries.quality(spark, str(tmp_path), docs), F.col("_weight"), carry=("text",)).collect()
     assert got == Counter({(r.doc_id, r.text): r.taken // r.size for r in mixed if r.taken}) and any(k is None for k, _ in got)
+
+
+def test_nothing_learnt_drops_nothing(spark):
+    docs = spark.createDataFrame([(1, "a clean text"), (2, ""), (3, None)], "doc_id long, text string")
+    weights = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.clean(docs, weights).count() == 3
