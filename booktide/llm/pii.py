@@ -75,25 +75,58 @@ CUES = {
     "phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "dial"},
 }
 #: Stretches worth a look: tokens with a digit or @, and mail addresses spelled with (at) and (dot).
-_SEED = re.compile(r"[^\s]*[0-9@][^\s]*|[A-Za-z0-9._-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?[(\[](?:dot)[)\]] ?[A-Za-z0-9-]+)+")
+_SPACE = re.compile(r"\s")
+_AT = re.compile(r"[(\[]at[)\]]")
+_AFTER_AT = re.compile(r" ?[A-Za-z0-9-]++(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]++)+")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 _TRIM_LEFT, _TRIM_RIGHT = "\"'<{[,;:", "\"'>}],;:.!?"
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     while start < end and text[start] in _TRIM_LEFT:
         start += 1
-    while end > start and (text[end - 1] in _TRIM_RIGHT or text[end - 1] == ")" and "(" not in text[start:end]):
+    opened = text.find("(", start, end) >= 0
+    while end > start and (text[end - 1] in _TRIM_RIGHT or text[end - 1] == ")" and not opened):
         end -= 1
     return start, end
 
 
+def seeds(text: str) -> list[tuple[int, int]]:
+    """The stretches worth a look, by place and without overlaps, in time linear in the text: (start, end) of each."""
+    spelled, last = [], 0
+    for m in _AT.finditer(text):
+        name = m.start() - (m.start() > last and text[m.start() - 1] == " ")
+        start = name
+        while start > last and text[start - 1] in _NAME:
+            start -= 1
+        after = _AFTER_AT.match(text, m.end()) if start < name else None
+        if after:
+            last = after.end()
+            spelled.append((start, last))
+    out, at, k = [], 0, 0
+    while True:
+        m = _ANY.search(text, at)
+        if k < len(spelled) and (m is None or spelled[k][0] <= m.start()):
+            start, end = spelled[k]
+            k += 1
+        elif m is None:
+            return out
+        else:
+            start = m.start()
+            while start > at and not text[start - 1].isspace():
+                start -= 1
+            stop = _SPACE.search(text, m.end())
+            end = min(stop.start() if stop else len(text), spelled[k][0] if k < len(spelled) else len(text))
+        out.append((start, end))
+        at = end
+
+
 def clusters(text: str, taken: list[Span]) -> Iterator[list[tuple[int, int]]]:
     """Runs of neighbouring seed tokens that no base span touches, as (start, end) of each token."""
     run: list[tuple[int, int]] = []
     blocked = sorted((s, e) for _, s, e in taken)
     k = 0
-    for m in _SEED.finditer(text):
-        start, end = m.span()
+    for start, end in seeds(text):
         while k < len(blocked) and blocked[k][1] <= start:
             k += 1
         hit = k < len(blocked) and blocked[k][0] < end
@@ -107,7 +140,7 @@ def clusters(text: str, taken: list[Span]) -> Iterator[list[tuple[int, int]]]:
 
 
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> tuple[str, ...]:
-    """Features of the whole span of tokens i to j, and of the word before it."""
+    """Features of the whole span of tokens i to j, and of the word before it (of its last 24 characters). Shapes of over 24 characters are one, and groups count up to the sixth."""
     start, end = _trimmed(text, tokens[i][0], tokens[j][1])
     span = text[start:end]
     digits = "".join(_DIGITS.findall(span))
@@ -259,7 +292,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     Counts and hash are of the base spans; spans has the model's too, as kind:start:end in code points, joined by commas. A null or empty
     text has none. Texts are read whole: each pattern in one pass, the model where tokens hold digits, an @ or a spelled (at). Its
-    segmentation is linear in their number, for a span has MOST_TOKENS tokens at most. Other columns of docs play no part.
+    segmentation is linear in their number, for a span has MOST_TOKENS tokens at most. Repeated rows each get a row, an empty table none;
+    a null id is carried along. Other columns of docs play no part.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dict(trained().weights))
 
