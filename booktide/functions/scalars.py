@@ -14,17 +14,29 @@ def epoch_ms(ts: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts).cast("long")
 
 
+def _on_grid(text: Column) -> Column:
+    """A number's text times 10,000 where it is a whole number, at any length of the text; else null."""
+    exact = text.try_cast("decimal(38,18)")
+    scaled = exact * SCALE
+    fine = F.rlike(text, F.lit(r"\.[0-9]{4}[0-9]*[1-9]"))  # a digit that counts after the fourth
+    return F.when((scaled == F.floor(scaled)) & ~fine, scaled)
+
+
 def price_e4(text: Column) -> Column:
     """A price text in [0, 1] times 10,000; null unless it lies on that grid exactly."""
-    exact = text.try_cast("decimal(20,10)")
-    scaled = exact * SCALE
-    return F.when((exact >= 0) & (exact <= 1) & (scaled == F.floor(scaled)), scaled.cast("int"))
+    scaled = _on_grid(text)
+    return F.when((scaled >= 0) & (scaled <= SCALE), scaled.cast("int"))
 
 
 def e4(text: Column) -> Column:
     """The same grid without bounds."""
-    scaled = text.try_cast("decimal(20,10)") * SCALE
-    return F.when(scaled == F.floor(scaled), scaled.cast("int"))
+    return _on_grid(text).cast("int")
+
+
+def whole_cents(qty: Column, cents: Column) -> Column:
+    """Payout in cents of a quantity at so many cents each; null unless it is whole."""
+    total = qty.cast("decimal(28,9)") * cents.cast("decimal(9,0)")
+    return F.when(total == F.floor(total), total.cast("long"))
 
 
 def complement(p: Column) -> Column:
@@ -39,10 +51,25 @@ def gcd(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda s: s.x)
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Division of whole numbers, exact beyond the doubles."""
+    return F.call_function("div", a, b)
+
+
 def reduced(num: Column, den: Column) -> Column:
     """struct(num, den) in lowest terms, den positive."""
     g = F.greatest(gcd(num, den), F.lit(1)) * F.when(den < 0, -1).otherwise(1)
-    return F.struct(F.floor(num / g).cast("long").alias("num"), F.floor(den / g).cast("long").alias("den"))
+    return F.struct(_div(num.cast("long"), g).alias("num"), _div(den.cast("long"), g).alias("den"))
+
+
+def rational(num: Column, den: Column) -> Column:
+    """The same for decimals of up to 38 digits, whose lowest terms fit a long; null if either is null."""
+    zero = F.lit(0).cast("decimal(38,0)")
+    start = F.struct(F.abs(num).cast("decimal(38,0)").alias("x"), F.abs(den).cast("decimal(38,0)").alias("y"))
+    step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), (s.x % F.nullif(s.y, zero)).cast("decimal(38,0)").alias("y")))
+    g = F.aggregate(F.sequence(F.lit(1), F.lit(185)), start, step, lambda s: F.greatest(s.x, F.lit(1).cast("decimal(38,0)")))
+    parts = F.transform(F.array(num.cast("decimal(38,0)"), den.cast("decimal(38,0)")), lambda v: _div(v, g).cast("long"))
+    return F.when(num.isNotNull() & den.isNotNull(), F.struct(parts[0].alias("num"), parts[1].alias("den")))
 
 
 def american_odds(a: Column) -> Column:
@@ -60,22 +87,42 @@ def overround(d: Column, other: Column) -> Column:
     return 1 / d + 1 / other - 1
 
 
-def clv_ev(p_close: Column, d: Column) -> Column:
+def closing_ev(p_close: Column, d: Column) -> Column:
     """Expected value of decimal odds d at the closing price."""
     return p_close * d - 1
 
 
+def null_ev(p_ref: Column, d: Column) -> Column:
+    """Expected value of decimal odds d at the reference's price when the entry was decided."""
+    return p_ref * d - 1
+
+
+def residual(p_close: Column, p_ref: Column, d: Column) -> Column:
+    """What the reference moved after the entry, at its odds."""
+    return (p_close - p_ref) * d
+
+
 def agreement(q_e4: Column, p_e4: Column) -> Column:
     """1 if an entry's and a reference's shares are more than 8 points apart."""
     return F.when(q_e4.isNull(), None).when(p_e4.isNull(), None).otherwise((F.abs(q_e4 - p_e4) > OUTLIER_E4).cast("int"))
 
 
+def agreement_reason(q: Column, p: Column) -> Column:
+    """Why the agreement flag is unknown; null if it is known."""
+    return ladder([(q.isNull(), "no_opposite_quote"), (p.isNull(), "no_reference_at_entry")])
+
+
+def spread_e4(bid_e4: Column, ask_e4: Column) -> Column:
+    return ask_e4 - bid_e4
+
+
 def eastern_day(ms: Column) -> Column:
     return F.from_utc_timestamp(F.timestamp_millis(ms), "America/New_York").cast("date")
 
 
 def iso_ms(text: Column) -> Column:
-    return F.unix_millis(F.to_timestamp(text))
+    """UTC milliseconds of an ISO time, rounded to the nearest one (halves to the even one)."""
+    return F.bround(F.unix_micros(F.to_timestamp(text)).cast("decimal(20,0)") / 1000).cast("long")
 
 
 def ms_iso(ms: Column) -> Column:

@@ -25,8 +25,8 @@ def top_n(levels: DataFrame, by: list[str], n: int = 10) -> DataFrame:
     return levels.withColumn("truncated", (size > n).cast("int")).where(F.col("rank") < n)
 
 
-def depth_walk(levels: DataFrame, by: list[str], cents: int) -> DataFrame:
-    """For each ladder the payout-weighted price of its first ``cents``: taken, paid_e4 (sum of price * taken), best_e4.
+def depth_walk(levels: DataFrame, by: list[str], cents: int | Column) -> DataFrame:
+    """For each ladder the payout-weighted price of its first ``cents`` (one number, or a column of by): taken, paid_e4 (sum of price * taken), best_e4.
 
     Levels are consumed from the best, the last one in part; a ladder that is too short has taken < cents and is never scaled up.
     """
@@ -36,10 +36,10 @@ def depth_walk(levels: DataFrame, by: list[str], cents: int) -> DataFrame:
     return walked.groupBy(*by).agg(F.sum("_take").cast("long").alias("taken"), F.sum(F.col("price_e4") * F.col("_take")).cast("long").alias("paid_e4"), F.min_by("price_e4", "rank").cast("long").alias("best_e4"))
 
 
-def two_sided(walks: DataFrame, book: str) -> DataFrame:
+def two_sided(walks: DataFrame, *book: str) -> DataFrame:
     """bid and ask walks of each book side by side: side 0 bids; side 1 bids, seen as asks by the complement."""
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    return walks.groupBy(book).agg(*(pick(s, c).alias(f"{c}{s}") for s in (0, 1) for c in ("taken", "paid_e4", "best_e4")))
+    return walks.groupBy(*book).agg(*(pick(s, c).alias(f"{c}{s}") for s in (0, 1) for c in ("taken", "paid_e4", "best_e4")))
 
 
 def mid_top() -> Column:

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ladder
 
+#: The official source, the claims of a start that count, and how far apart they may lie.
+OFFICIAL = "mlb_statsapi"
+START_KINDS = [("mlb_statsapi", "first_pitch"), ("mlb_statsapi", "status_in_progress"), ("novig_stream", "venue_golive")]
+MAX_SPAN_MS = 120_000
 
-def heads(observations: DataFrame, key: str, id_: str, supersedes: str) -> DataFrame:
+
+def heads(observations: DataFrame, key: str | list[str], id_: str, supersedes: str) -> DataFrame:
     """The newest row that none supersedes of each key, and n_heads: over 1 is a conflict."""
     old = observations.select(F.col(supersedes).alias("_old")).where("_old is not null")
     live = observations.join(old, F.col(id_) == F.col("_old"), "left_anti")
@@ -31,12 +36,6 @@ def reference(mappings: DataFrame, by: list[str], instrument: str) -> DataFrame:
     return g.select(*by, "n", F.when(F.col("n") == 1, F.col("_i")).alias(instrument), ladder([(F.col("n") == 0, "unmapped"), (F.col("n") > 1, "ambiguous_reference")]).alias("reason"))
 
 
-def corrected(heads_: DataFrame, corrections: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """New observations from corrections: a field that a correction leaves open is carried over from the head it supersedes."""
-    new = corrections.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in columns))
-    return heads_.join(new, key).select(key, *(F.coalesce(f"_{c}", c).alias(c) for c in columns), F.col("id").alias("supersedes"))
-
-
 def settlement_changes(rows: DataFrame, key: str, order: list[str], state: list[str], id_: str) -> DataFrame:
     """Rows whose state differs from the one before, with the id of the kept row that each supersedes."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -44,20 +43,23 @@ def settlement_changes(rows: DataFrame, key: str, order: list[str], state: list[
     return kept.withColumn("supersedes", F.lag(id_).over(w)).drop("_same")
 
 
-def resolve_start(claims: DataFrame, event: str, max_span_ms: int) -> DataFrame:
-    """Bounds of an event's start from claims (event, source, kind, at_ms): earliest, selected, latest, n, reason.
+def resolve_start(claims: DataFrame, event: str, max_span_ms: int = MAX_SPAN_MS) -> DataFrame:
+    """Bounds of an event's start from claims (event, source, kind, at_ms): n, earliest, selected, latest, span_ms, reason.
 
-    earliest is over all claims. Without an official claim the rest are bounds without trust. A first pitch, where there is one, decides
-    selected and latest. Official claims too far apart disagree.
+    Only claims of START_KINDS count, and one time claimed twice counts once. earliest is over all of them. Without an official claim the
+    bounds are recorded without trust; else first pitches, where there are any, decide selected and latest. Claims of any kind that lie
+    further apart than max_span_ms disagree. An event without a claim has no row.
     """
-    official = F.when(F.col("source") == "official", F.col("at_ms"))
-    pitch = F.when((F.col("source") == "official") & (F.col("kind") == "first_pitch"), F.col("at_ms"))
-    g = claims.groupBy(event).agg(
-        F.count(F.lit(1)).alias("n"), F.min("at_ms").alias("earliest"), F.max("at_ms").alias("_last"), F.min(official).alias("_o0"), F.max(official).alias("_o1"), F.min(pitch).alias("_p0"), F.max(pitch).alias("_p1")
-    )
-    reason = ladder([(F.col("_o0").isNull(), "no_trusted_off"), (F.col("latest") - F.col("earliest") > max_span_ms, "off_disagreement")])
-    g = g.withColumns({"selected": F.coalesce("_p0", "_o0", "earliest"), "latest": F.coalesce("_p1", "_o1", "_last")})
-    return g.select(event, "n", "earliest", "selected", "latest", reason.alias("reason"))
+    trusted = claims.where(F.struct("source", "kind").isin(*(F.struct(F.lit(s), F.lit(k)) for s, k in START_KINDS)))
+    official = F.when(F.col("source") == OFFICIAL, F.col("at_ms"))
+    pitch = F.when(F.col("kind") == "first_pitch", F.col("at_ms"))
+    g = trusted.groupBy(event).agg(
+        F.count_distinct("at_ms").alias("n"), F.min("at_ms").alias("earliest"), F.max("at_ms").alias("_last"),
+        F.min(official).alias("_o0"), F.max(official).alias("_o1"), F.min(pitch).alias("_p0"), F.max(pitch).alias("_p1"),
+    )
+    g = g.withColumn("span_ms", F.col("_last") - F.col("earliest"))
+    reason = ladder([(F.col("_o0").isNull(), "no_trusted_off"), (F.col("span_ms") > max_span_ms, "off_disagreement")])
+    return g.select(event, "n", "earliest", F.coalesce("_p0", "_o0", "earliest").alias("selected"), F.coalesce("_p1", "_o1", "_last").alias("latest"), "span_ms", reason.alias("reason"))
 
 
 def at_snapshot(table: DataFrame, id_: str, mark: int | None) -> DataFrame:
@@ -75,10 +77,11 @@ def waterfall(rows: DataFrame, steps: list[str], reason: Column) -> DataFrame:
     """How many rows fail first at each step, and how many are left after it."""
     total = rows.groupBy(reason.alias("step")).agg(F.count(F.lit(1)).alias("_n"))
     order = rows.sparkSession.createDataFrame(list(enumerate(steps)), "pos int, step string")
-    g = order.join(F.broadcast(total), "step", "left").withColumn("dropped", F.coalesce("_n", F.lit(0)))
-    everything = total.agg(F.sum("_n").alias("_all"))
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return g.crossJoin(F.broadcast(everything)).withColumn("left", F.col("_all") - F.sum("dropped").over(w)).select("pos", "step", "dropped", "left")
+    # A row for each step and one for each other reason: few, whatever the rows.
+    g = order.join(total, "step", "full").withColumn("dropped", F.coalesce("_n", F.lit(0)))
+    g = g.withColumn("_all", F.sum("dropped").over(Window.partitionBy(F.lit(0)))).where("pos is not null")
+    w = Window.partitionBy(F.lit(0)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return g.withColumn("left", F.col("_all") - F.sum("dropped").over(w)).select("pos", "step", "dropped", "left")
 
 
 def exactly_one(left: DataFrame, right: DataFrame, on: list[str], within: Column, id_: str, other: str) -> DataFrame:

@@ -5,33 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ladder
+from ..functions.scalars import DAY_MS, ladder
 
 
-def asof_backward(requests: DataFrame, series: DataFrame, key: str, at: str, when: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Each request (key, at) with the columns of the last row of series at or before it; later order columns break ties.
+#: Time that rows of one key share a task for, at most, in as-of joins: a key of any length is dealt over many tasks.
+BUCKET_MS = 7 * DAY_MS
+
 
-    One union and one window on the key instead of a range join: rows of both sides are sorted once, and the latest row is carried forward.
+def carried(rows: DataFrame, by: list[str], at: str, order: list[str], values: dict[str, Column], forward: bool = False, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """rows with the last non-null value of each column at or before the row, in the order (at, *order); forward: the first at or after it.
+
+    Keys are dealt by buckets of time. A first pass takes the last value of each bucket, a row each, and carries it over to the next ones;
+    the window then runs inside a bucket, over rows that the join has put in place already.
     """
-    left = requests.withColumns({"_t": F.col(at), "_left": F.lit(1), "_row": F.lit(None).cast(series.select(F.struct(*columns)).schema[0].dataType)})
-    for c in order:
-        left = left.withColumn(f"_{c}", F.lit(None).cast(series.schema[c].dataType))
-    right = series.select(F.col(key), F.col(when).alias("_t"), F.lit(0).alias("_left"), F.struct(*columns).alias("_row"), *(F.col(c).alias(f"_{c}") for c in order))
+    x = rows.withColumn("_b", F.floor(F.col(at) / bucket_ms))
+    place, pick = F.struct(at, *order), F.min_by if forward else F.max_by
+    way = lambda c: F.col(c).desc() if forward else F.col(c).asc()
+    ends = x.groupBy(*by, "_b").agg(*(pick(v, F.when(v.isNotNull(), place)).alias(k) for k, v in values.items()))
+    earlier = Window.partitionBy(*by).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*by, "_b", *(F.last(k, ignorenulls=True).over(earlier).alias(f"_in_{k}") for k in values))
+    inside = Window.partitionBy(*by, "_b").orderBy(way(at), *map(way, order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = x.join(ends, [*by, "_b"], "left").select(*rows.columns, *(F.coalesce(F.last(v, ignorenulls=True).over(inside), F.col(f"_in_{k}")).alias(k) for k, v in values.items()))
+    return out
+
+
+def _asof(requests: DataFrame, series: DataFrame, key: str, at: str, when: str, order: list[str], columns: list[str], forward: bool) -> DataFrame:
+    kind = series.select(F.struct(*columns)).schema[0].dataType
+    none = [F.lit(None).cast(series.schema[c].dataType).alias(f"_{c}") for c in order]
+    left = requests.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_left"), *none, F.lit(None).cast(kind).alias("_row"), F.struct(*requests.columns).alias("_request"))
+    right = series.join(requests.select(key).distinct(), key, "left_semi").select(F.col(key), F.col(when).alias("_t"), F.lit(0).alias("_left"), *(F.col(c).alias(f"_{c}") for c in order), F.struct(*columns).alias("_row"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_t", "_left", *(f"_{c}" for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_row", ignorenulls=True).over(w)).where("_left = 1")
-    return out.select(*requests.columns, *(F.col(f"_last.{c}").alias(c) for c in columns))
+    out = carried(both, [key], "_t", ["_left", *(f"_{c}" for c in order)], {"_found": F.col("_row")}, forward).where("_left = 1")
+    return out.select(*(F.col("_request")[c].alias(c) for c in requests.columns), *(F.col("_found")[c].alias(c) for c in columns))
+
+
+def asof_backward(requests: DataFrame, series: DataFrame, key: str, at: str, when: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Each request (key, at) with the columns of the last row of series at or before it; later order columns break ties."""
+    return _asof(requests, series, key, at, when, order, columns, False)
 
 
 def asof_forward(requests: DataFrame, series: DataFrame, key: str, at: str, when: str, order: list[str], columns: list[str]) -> DataFrame:
     """Each request with the first row of series strictly after it."""
-    flip = lambda df, t: df.withColumn("_flip", -F.col(t))
-    right = flip(series, when).select(key, F.col("_flip").alias("_ft"), F.struct(*columns).alias("_row"), *(F.col(c).alias(f"_{c}") for c in order))
-    left = flip(requests, at).select("*", F.col("_flip").alias("_ft"))
-    both = left.withColumn("_left", F.lit(0)).unionByName(right.withColumn("_left", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_ft", "_left", *(F.col(f"_{c}").desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_first", F.last("_row", ignorenulls=True).over(w)).where("_left = 0")
-    return out.select(*requests.columns, *(F.col(f"_first.{c}").alias(c) for c in columns))
+    return _asof(requests, series, key, at, when, order, columns, True)
 
 
 def pair_gaps(opens: DataFrame, closes: DataFrame) -> DataFrame:
@@ -99,14 +114,6 @@ def sequence_gaps(series: DataFrame, key: str, order: list[str], seq: str) -> Da
     return out.groupBy(key).agg(F.sum(F.when(F.col(seq) > F.col("_top") + 1, 1).otherwise(0)).cast("long").alias("gaps"), F.count(F.lit(1)).alias("rows"))
 
 
-def live_reason(gap: Column, live_age: Column, halted: Column, lag: Column, age: Column, live_max: int, lag_max: int, age_max: int) -> Column:
-    """The first reason for which a live quote is no price: gap, stalled feed, halt, late venue, stale book."""
-    return ladder([
-        (gap == "crossed_book", "crossed_book"), (gap.isNotNull(), "collection_gap"), (live_age > live_max, "feed_stalled"),
-        (halted, "halted"), (lag > lag_max, "venue_lag"), (age > age_max, "stale_book"),
-    ])
-
-
 def span_id_first(df: DataFrame, by: list[str]) -> DataFrame:
     """First row flag of each key in order: 1 at the first row of a session for a subject."""
     return df.withColumn("first", (F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) == 1).cast("int"))

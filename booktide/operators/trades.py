@@ -21,13 +21,16 @@ def execution_time(sightings: DataFrame) -> DataFrame:
 def window_vwap(requests: DataFrame, executions: DataFrame, key: str, window_ms: int) -> DataFrame:
     """For each request (request_id, key, as_of_ms) the executions in [as_of - window, as_of): n, payout, sum of price * payout, last time.
 
-    Times are put into buckets as wide as the window, so that a request meets two buckets and the join stays an equi-join.
+    If both sides have a column side, executions of the other side count at their complement. Times are put into buckets as wide as the window, so that a request meets two buckets and the join stays an equi-join.
     """
+    sided = "side" in requests.columns and "side" in executions.columns
+    executions = executions.withColumnRenamed("side", "_side") if sided else executions
+    price = F.when(F.col("side") == F.col("_side"), F.col("price_e4")).otherwise(SCALE - F.col("price_e4")) if sided else F.col("price_e4")
     r = requests.withColumn("_b", F.explode(F.array(F.floor(F.col("as_of_ms") / window_ms), F.floor(F.col("as_of_ms") / window_ms) - 1)))
     e = executions.withColumn("_b", F.floor(F.col("time_ms") / window_ms))
     inside = (F.col("time_ms") >= F.col("as_of_ms") - window_ms) & (F.col("time_ms") < F.col("as_of_ms"))
     got = r.join(e, [key, "_b"]).where(inside).groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("payout_cents").cast("long").alias("payout"), F.sum(F.col("price_e4") * F.col("payout_cents")).cast("long").alias("paid"), F.max("time_ms").alias("last_ms")
+        F.count(F.lit(1)).alias("n"), F.sum("payout_cents").cast("long").alias("payout"), F.sum(price * F.col("payout_cents")).cast("long").alias("paid"), F.max("time_ms").alias("last_ms")
     )
     return requests.join(got, "request_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "payout": F.coalesce("payout", F.lit(0))})
 
@@ -60,11 +63,19 @@ def match_candidates(stream: DataFrame, executions: DataFrame, key: list[str], n
     return s.join(e, [*key, "_b"]).where((F.abs(F.col("s_ms") - F.col("e_ms")) <= near_ms) & (F.abs(F.col("s_price") - F.col("e_price")) < near_e4)).drop("_b")
 
 
-def greedy_match(candidates: DataFrame, key: list[str]) -> DataFrame:
+def greedy_match(candidates: DataFrame, key: list[str], near_ms: int | None = None) -> DataFrame:
     """One execution for a stream trade at most and the reverse, in stream order, the nearest free one first: (stream_id, execution_id).
 
-    The choice depends on those before it, so each key's candidates go through one function in order.
+    The choice depends on those before it, so candidates go through one function in order. near_ms: no candidates lie further apart; then a
+    key's candidates are first cut wherever no trade of one side can reach over, and the runs between are tasks of their own.
     """
+    by = list(key)
+    if near_ms is not None:
+        low, high = F.least("s_ms", "e_ms"), F.greatest("s_ms", "e_ms")
+        w = Window.partitionBy(*key).orderBy("_low", "_high")
+        x = candidates.withColumns({"_low": low, "_high": high}).withColumn("_reach", F.max("_high").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        candidates = x.withColumn("_run", F.sum(F.when(F.col("_low") > F.col("_reach"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_low", "_high", "_reach")
+        by.append("_run")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -75,4 +86,4 @@ def greedy_match(candidates: DataFrame, key: list[str]) -> DataFrame:
                 out.append((sid, free))
         return pd.DataFrame(out, columns=["stream_id", "execution_id"])
 
-    return candidates.groupBy(*key).applyInPandas(assign, "stream_id long, execution_id long")
+    return candidates.groupBy(*by).applyInPandas(assign, "stream_id long, execution_id long")

@@ -81,5 +81,57 @@ SQL = {
 
 def sql(body: str, *views: str) -> str:
     """A query over some of the views, each of which may use those before it. A body that begins with a comma goes on with views of its own."""
-    needed = [v for v in SQL if v in views or v == "ticks" and {"evidence", "gaps"} & {*views}]
+    every = {*views}.union(*(_NEEDS.get(v, set()) for v in views))
+    needed = [v for v in SQL if v in every]
     return "WITH " + ", ".join(f"{v} AS ({SQL[v]})" for v in needed) + (body if body.startswith(",") else f" {body}") if needed else body
+
+
+def live_facts(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """events as a live market: ticks of two sources, signs of life, gaps by scope, and three levels for each side of a tick."""
+    t, n = ticks(spark, d), F.col("tick_id")
+    source = F.when(n % 4 == 0, "poll").otherwise("stream")
+    marks = t.select(
+        "tick_id", "instrument", source.alias("source"), F.col("at_ms").alias("observed_ms"), F.when(n % 10 != 0, F.col("at_ms") - n % 6000).alias("venue_ms"),
+        F.when(F.col("status") == "error", "SUSPENDED").otherwise("OPEN").alias("status"), (n % 5 == 0).alias("truncated"), (n % 7 != 0).alias("complete"),
+        F.concat_ws("/", F.col("instrument").cast("string"), F.floor(n / 2000).cast("string")).alias("snapshot"),
+    )
+    signs = t.where("status = 'view'").select("instrument", source.alias("source"), (F.col("at_ms") + 3_600_000).alias("observed_ms"))
+    opens, closed = gap_rows(spark, d)
+    gaps = opens.join(closed, opens.gap_id == closed.opens_gap_id, "left").select("gap_id", F.concat(F.lit("novig:market:"), F.col("scope").cast("string"), F.when(F.col("gap_id") % 3 == 0, "").otherwise("/book")).alias("scope"), "open_ms", "close_ms", "reason")
+    ladder = marks.select("tick_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("side")).withColumn("rank", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("not (side = 1 and tick_id % 11 = 0)")
+    levels_ = ladder.select("tick_id", "side", "rank", (2000 + (n * 13 + F.col("side") * 700) % 2600 - F.col("rank") * 100).cast("int").alias("price_e4"), (3000 + (n * (F.col("rank") + 3) * 17) % 40000).cast("long").alias("payout_cents"))
+    return {"ticks": marks, "evidence": signs, "gaps": gaps, "levels": levels_}
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """events as claims of an event's start: of the official source, of the venue, and of a kind that is none."""
+    kinds = {"purchase": ("mlb_statsapi", "first_pitch"), "signup": ("mlb_statsapi", "status_in_progress"), "click": ("novig_stream", "venue_golive"), "view": ("mlb_statsapi", "warmup")}
+    source = kind = F.lit(None).cast("string")
+    for status, (s, k) in kinds.items():
+        source, kind = F.when(F.col("status") == status, s).otherwise(source), F.when(F.col("status") == status, k).otherwise(kind)
+    return ticks(spark, d).select((F.col("instrument") * 1000 + F.floor(F.col("at_ms") / (2 * DAY_MS)) % 1000).alias("event_id"), source.alias("source"), kind.alias("kind"), "at_ms")
+
+
+def book_candles(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly candles of bid and ask from events; every ninth lacks its ask, and some ends have a second record that differs."""
+    t = ticks(spark, d).withColumn("start_ms", F.floor(F.col("at_ms") / 3_600_000) * 3_600_000)
+    c = t.groupBy("instrument", "start_ms").agg(F.min("tick_id").alias("candle_id"), F.max_by("price_e4", F.struct("at_ms", "tick_id")).alias("close"), F.max("tick_id").alias("last"))
+    end, ask = F.col("start_ms") + 3_600_000, F.when(F.col("candle_id") % 9 != 0, F.col("close") + 200)
+    one = c.select("candle_id", "instrument", (F.col("instrument") % 2).cast("int").alias("side"), "start_ms", end.alias("end_ms"), F.col("close").alias("bid_close_e4"), ask.cast("int").alias("ask_close_e4"))
+    two = c.where("last <> candle_id").select((F.col("last") + 1_000_000_000).alias("candle_id"), "instrument", (F.col("instrument") % 2).cast("int").alias("side"), "start_ms", end.alias("end_ms"), (F.col("close") + F.col("last") % 2).cast("int").alias("bid_close_e4"), ask.cast("int").alias("ask_close_e4"))
+    return one.union(two)
+
+
+SQL |= {
+    "lticks": """SELECT tick_id, instrument, CASE WHEN tick_id % 4 = 0 THEN 'poll' ELSE 'stream' END AS source, at_ms AS observed_ms, CASE WHEN tick_id % 10 <> 0 THEN at_ms - tick_id % 6000 END AS venue_ms,
+        CASE WHEN status = 'error' THEN 'SUSPENDED' ELSE 'OPEN' END AS status, tick_id % 5 = 0 AS truncated, tick_id % 7 <> 0 AS complete, instrument || '/' || (tick_id // 2000) AS snapshot FROM ticks""",
+    "lsigns": "SELECT instrument, CASE WHEN tick_id % 4 = 0 THEN 'poll' ELSE 'stream' END AS source, at_ms + 3600000 AS observed_ms FROM ticks WHERE status = 'view'",
+    "lgaps": "SELECT gap_id, 'novig:market:' || scope || CASE WHEN gap_id % 3 = 0 THEN '' ELSE '/book' END AS scope, open_ms, close_ms, reason FROM gaps",
+    "llevels": "SELECT tick_id, side, rank, 2000 + (tick_id * 13 + side * 700) % 2600 - rank * 100 AS price_e4, 3000 + (tick_id * (rank + 3) * 17) % 40000 AS payout_cents FROM ticks, range(0, 2) s(side), range(0, 3) r(rank) WHERE NOT (side = 1 AND tick_id % 11 = 0)",
+    "claims": """SELECT instrument * 1000 + at_ms // 172800000 % 1000 AS event_id, CASE WHEN status IN ('purchase', 'signup', 'view') THEN 'mlb_statsapi' WHEN status = 'click' THEN 'novig_stream' END AS source,
+        CASE status WHEN 'purchase' THEN 'first_pitch' WHEN 'signup' THEN 'status_in_progress' WHEN 'click' THEN 'venue_golive' WHEN 'view' THEN 'warmup' END AS kind, at_ms FROM ticks""",
+    "hours": "SELECT instrument, at_ms // 3600000 * 3600000 AS start_ms, min(tick_id) AS candle_id, arg_max(price_e4, (at_ms, tick_id)) AS close, max(tick_id) AS last FROM ticks GROUP BY 1, 2",
+    "bcandles": """SELECT candle_id, instrument, instrument % 2 AS side, start_ms, start_ms + 3600000 AS end_ms, close AS bid, CASE WHEN candle_id % 9 <> 0 THEN close + 200 END AS ask FROM hours
+        UNION ALL SELECT last + 1000000000, instrument, instrument % 2, start_ms, start_ms + 3600000, close + last % 2, CASE WHEN candle_id % 9 <> 0 THEN close + 200 END FROM hours WHERE last <> candle_id""",
+}
+_NEEDS = {"lticks": {"ticks"}, "lsigns": {"ticks"}, "lgaps": {"ticks", "gaps"}, "llevels": {"ticks"}, "claims": {"ticks"}, "hours": {"ticks"}, "bcandles": {"ticks", "hours"}, "evidence": {"ticks"}, "gaps": {"ticks"}}

@@ -64,40 +64,6 @@ def gap_overlap_reason(spark, d):
     return series.first_overlap(_spans(spark, d), gap_pairing(spark, d), 7 * DAY).select(F.col("scope").alias("instrument"), F.col("to_ms").alias("as_of_ms"), "gap_id", "reason")
 
 
-@query(
-    sql(
-        f""", latest AS ({LATEST}), hit AS ({OVERLAP}), live AS (SELECT g.instrument, g.as_of_ms, (SELECT max(e.at_ms) FROM evidence e WHERE e.instrument = g.instrument AND e.at_ms <= g.as_of_ms) AS ev FROM grid g)
-        SELECT l.instrument, l.as_of_ms, l.price_e4, l.as_of_ms - l.at_ms AS quote_age_ms, CASE WHEN l.tick_id IS NULL THEN 'no_quotes' WHEN h.reason = 'crossed_book' THEN 'crossed_book' WHEN h.reason IS NOT NULL THEN 'collection_gap'
-        WHEN l.as_of_ms - greatest(l.at_ms, coalesce(v.ev, 0)) > 86400000 THEN 'feed_stalled' WHEN l.status = 'error' THEN 'halted' WHEN l.tick_id % 9000 > 8500 THEN 'venue_lag' WHEN l.as_of_ms - l.at_ms > 43200000 THEN 'stale_book' END AS reason
-        FROM latest l LEFT JOIN hit h USING (instrument, as_of_ms) LEFT JOIN live v USING (instrument, as_of_ms)""",
-        "ticks", "evidence", "gaps", "grid",
-    )
-)
-def price_as_of_reason_ladder(spark, d):
-    keys = ["instrument", "as_of_ms"]
-    x = asof_tick_backward(spark, d).join(gap_overlap_reason(spark, d).withColumnRenamed("reason", "gap"), keys, "left").join(asof_evidence_max(spark, d), keys, "left")
-    alive = F.col("as_of_ms") - F.greatest("at_ms", F.coalesce("last_ms", F.lit(0)))
-    age = F.col("as_of_ms") - F.col("at_ms")
-    why = series.live_reason(F.col("gap"), alive, F.col("status") == "error", F.col("tick_id") % 9000, age, DAY, 8500, DAY // 2)
-    return x.select(*keys, "price_e4", age.alias("quote_age_ms"), F.when(F.col("tick_id").isNull(), "no_quotes").otherwise(why).alias("reason"))
-
-
-@query(
-    sql(
-        """SELECT g.instrument, g.as_of_ms, CASE WHEN e.at_ms IS NULL AND t.at_ms IS NULL THEN NULL WHEN t.at_ms IS NULL OR e.at_ms <= t.at_ms THEN e.at_ms WHEN t.status = 'view' THEN t.at_ms END AS bracket_ms FROM grid g
-        LEFT JOIN LATERAL (SELECT min(at_ms) AS at_ms FROM evidence e WHERE e.instrument = g.instrument AND e.at_ms > g.as_of_ms) e ON true
-        LEFT JOIN LATERAL (SELECT at_ms, status FROM ticks t WHERE t.instrument = g.instrument AND t.at_ms > g.as_of_ms ORDER BY at_ms, tick_id LIMIT 1) t ON true""",
-        "ticks", "evidence", "grid",
-    )
-)
-def liveness_bracket(spark, d):
-    nxt = series.asof_forward(A.grid(spark, d), A.ticks(spark, d), "instrument", "as_of_ms", "at_ms", ["tick_id"], ["at_ms", "status"])
-    ev = series.asof_forward(A.grid(spark, d), A.evidence(spark, d), "instrument", "as_of_ms", "at_ms", ["evidence_id"], ["at_ms"]).withColumnRenamed("at_ms", "e")
-    x = nxt.join(ev, ["instrument", "as_of_ms"])
-    early = F.col("at_ms").isNull() | (F.col("e") <= F.col("at_ms"))
-    return x.select("instrument", "as_of_ms", F.when(early & F.col("e").isNotNull(), F.col("e")).when(F.col("status") == "view", F.col("at_ms")).alias("bracket_ms"))
-
-
 WALK = f"""SELECT book, side, CAST(sum(take) AS BIGINT) AS taken, CAST(sum(price_e4 * take) AS BIGINT) AS paid_e4, CAST(arg_min(price_e4, rank) AS BIGINT) AS best_e4 FROM (SELECT *, greatest(0, least(payout_cents,
     {DEPTH} - coalesce(sum(payout_cents) OVER (PARTITION BY book, side ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM levels) GROUP BY book, side"""
 TWO = f"""SELECT book, max(taken) FILTER (side = 0) AS t0, max(taken) FILTER (side = 1) AS t1, max(paid_e4) FILTER (side = 0) AS p0, max(paid_e4) FILTER (side = 1) AS p1, max(best_e4) FILTER (side = 0) AS b0, max(best_e4) FILTER (side = 1) AS b1 FROM ({WALK}) GROUP BY book"""
@@ -208,19 +174,6 @@ def reference_lookup_cardinality(spark, d):
     return facts.reference(p, ["brand", "size"], "instrument")
 
 
-@query(
-    sql(
-        """, c AS (SELECT instrument AS event, at_ms, status <> 'click' AS official, status = 'purchase' AS pitch FROM ticks WHERE tick_id % 20 = 0),
-        g AS (SELECT event, count(*) AS n, min(at_ms) AS earliest, max(at_ms) AS last, min(at_ms) FILTER (official) AS o0, max(at_ms) FILTER (official) AS o1, min(at_ms) FILTER (pitch) AS p0, max(at_ms) FILTER (pitch) AS p1 FROM c GROUP BY 1)
-        SELECT event, n, earliest, coalesce(p0, o0, earliest) AS selected, coalesce(p1, o1, last) AS latest, CASE WHEN o0 IS NULL THEN 'no_trusted_off' WHEN coalesce(p1, o1, last) - earliest > 604800000 THEN 'off_disagreement' END AS reason FROM g""",
-        "ticks",
-    )
-)
-def off_resolve_bounds(spark, d):
-    c = A.ticks(spark, d).where("tick_id % 20 = 0").select(F.col("instrument").alias("event"), "at_ms", F.when(F.col("status") == "click", "venue").otherwise("official").alias("source"), F.when(F.col("status") == "purchase", "first_pitch").otherwise("other").alias("kind"))
-    return facts.resolve_start(c, "event", 7 * DAY)
-
-
 CANDLES = "SELECT instrument, at_ms // 3600000 * 3600000 AS start_ms, arg_min(price_e4, (at_ms, tick_id)) AS open_e4, max(price_e4) AS high_e4, min(price_e4) AS low_e4, arg_max(price_e4, (at_ms, tick_id)) AS close_e4, count(*) AS n FROM ticks GROUP BY 1, 2"
 
 
@@ -230,24 +183,6 @@ def candle_ohlc(spark, d):
     return A.ticks(spark, d).groupBy("instrument", (F.floor(F.col("at_ms") / 3600000) * 3600000).alias("start_ms")).agg(F.min_by("price_e4", o).alias("open_e4"), F.max("price_e4").alias("high_e4"), F.min("price_e4").alias("low_e4"), F.max_by("price_e4", o).alias("close_e4"), F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    sql(
-        f""", c AS ({CANDLES}), x AS (SELECT g.instrument, g.as_of_ms, (SELECT max(start_ms) FROM c WHERE c.instrument = g.instrument AND c.start_ms + 3600000 <= g.as_of_ms) AS last, EXISTS (SELECT 1 FROM c WHERE c.instrument = g.instrument AND c.start_ms < g.as_of_ms AND c.start_ms + 3600000 > g.as_of_ms) AS active FROM grid g)
-        SELECT x.instrument, x.as_of_ms, CASE WHEN x.as_of_ms - x.last - 3600000 <= 86400000 THEN c.close_e4 END AS close_e4, CASE WHEN x.last IS NULL THEN CASE WHEN active THEN 'ambiguous_candle' ELSE 'no_quotes' END WHEN x.as_of_ms - x.last - 3600000 > 86400000 THEN CASE WHEN active THEN 'ambiguous_candle' ELSE 'stale_book' END END AS reason
-        FROM x LEFT JOIN c ON c.instrument = x.instrument AND c.start_ms = x.last""",
-        "ticks", "grid",
-    )
-)
-def candle_close_as_of(spark, d):
-    c = candle_ohlc(spark, d).withColumn("end_ms", F.col("start_ms") + 3600000)
-    ended = series.asof_backward(A.grid(spark, d), c, "instrument", "as_of_ms", "end_ms", ["start_ms"], ["end_ms", "close_e4"])
-    begun = series.asof_backward(A.grid(spark, d).withColumn("before_ms", F.col("as_of_ms") - 1), c, "instrument", "before_ms", "start_ms", ["end_ms"], ["end_ms"]).select("instrument", "as_of_ms", F.coalesce(F.col("end_ms") > F.col("as_of_ms"), F.lit(False)).alias("active"))
-    x = ended.join(begun, ["instrument", "as_of_ms"])
-    old = F.col("as_of_ms") - F.col("end_ms") > DAY
-    why = S.ladder([((F.col("end_ms").isNull() | old) & F.col("active"), "ambiguous_candle"), (F.col("end_ms").isNull(), "no_quotes"), (old, "stale_book")])
-    return x.select("instrument", "as_of_ms", F.when(~old, F.col("close_e4")).alias("close_e4"), why.alias("reason"))
-
-
 def _months(spark, d) -> DataFrame:
     suppliers = A.read(spark, d, "supplier").select(F.col("s_suppkey").alias("instrument"))
     months = F.expr("transform(sequence(0, 71), k -> timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(add_months(DATE'1996-01-01', k) as timestamp_ntz)))")
@@ -333,7 +268,7 @@ def american_odds(spark, d):
 def devig_two_way(spark, d):
     a, o = 1 + F.col("p_retailprice") / 1000, 1 + F.col("p_size") / F.lit(20.0)
     share = S.devig(a, o)
-    return A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(share, 10).alias("share"), F.round(S.overround(a, o), 10).alias("overround"), F.round(S.clv_ev(F.lit(0.55), a), 10).alias("ev"), S.agreement(F.floor(share * 10000), F.lit(5000)).alias("outlier"))
+    return A.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(share, 10).alias("share"), F.round(S.overround(a, o), 10).alias("overround"), F.round(S.closing_ev(F.lit(0.55), a), 10).alias("ev"), S.agreement(F.floor(share * 10000), F.lit(5000)).alias("outlier"))
 
 
 @query(sql(f", latest AS ({LATEST}) SELECT instrument, as_of_ms, array_to_string(list_filter(list_distinct_in_order, lambda x: x IS NOT NULL), ',') AS reasons FROM (SELECT instrument, as_of_ms, [CASE WHEN tick_id IS NULL THEN 'no_quotes' END, CASE WHEN status = 'error' THEN 'halted' END, CASE WHEN price_e4 > 1000 THEN 'unlicensed_book' END] AS list_distinct_in_order FROM latest)", "ticks", "grid"))
