@@ -153,4 +153,4 @@ def fair_grade(text: Column) -> Column:
 
 def header(headers: Column, name: str) -> Column:
     """The first header of that name, in any case, of array<array<string>>."""
-    return F.element_at(F.filter(headers, lambda h: F.lower(h[0]) == name.lower()), 1)[1]
+    return F.get(F.get(F.filter(headers, lambda h: F.lower(h[0]) == name.lower()), F.lit(0)), F.lit(1))

@@ -1,6 +1,5 @@
 """Market operators against worked examples, and all registered queries against their SQL twins."""
 
-import json
 import math
 from pathlib import Path
 
@@ -11,8 +10,6 @@ import __spark_entry__ as entry
 from booktide.functions import scalars as S
 from booktide.operators import books, facts, series, stats, trades
 from booktide.plans import queries as market
-from booktide.sources import archive, venues
-from booktide.streaming import replay as R
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -72,9 +69,10 @@ def test_poll_gaps(spark, polls, want):
 
 
 def test_starts(spark):
-    rows = [(1, "venue", "live", 90), (1, "official", "first_pitch", 100), (2, "venue", "live", 50), (3, "official", "first_pitch", 0), (3, "official", "first_pitch", 500)]
-    got = {r.event: (r.earliest, r.selected, r.latest, r.reason) for r in facts.resolve_start(spark.createDataFrame(rows, "event long, source string, kind string, at_ms long"), "event", 120).collect()}
-    assert got == {1: (90, 100, 100, None), 2: (50, 50, 50, "no_trusted_off"), 3: (0, 0, 500, "off_disagreement")}
+    pitch, venue = ("mlb_statsapi", "first_pitch"), ("novig_stream", "venue_golive")
+    rows = [(1, *venue, 90), (1, *pitch, 100), (1, *pitch, 100), (2, *venue, 50), (3, *pitch, 0), (3, *pitch, 500), (4, "mlb_statsapi", "status_warmup", 1), (5, *pitch, 100), (5, *venue, 500), (6, "mlb_statsapi", "status_in_progress", 30)]
+    got = {r.event: (r.n, r.earliest, r.selected, r.latest, r.reason) for r in facts.resolve_start(spark.createDataFrame(rows, "event long, source string, kind string, at_ms long"), "event", 120).collect()}
+    assert got == {1: (2, 90, 100, 100, None), 2: (1, 50, 50, 50, "no_trusted_off"), 3: (2, 0, 0, 500, "off_disagreement"), 5: (2, 100, 100, 100, "off_disagreement"), 6: (1, 30, 30, 30, None)}
 
 
 def test_greedy_match(spark):
@@ -91,51 +89,6 @@ def test_regression_needs_clusters(spark):
     assert abs(fit.value[1] - 2) < 1e-9 and fit.within(0, 1e-6)
 
 
-def frame(t, conn, d, text):
-    return {"recv_ts_ms": t, "conn_id": conn, "dir": d, "frame": text if isinstance(text, str) else json.dumps(text)}
-
-
-def test_archive(spark, tmp_path):
-    request = {"type": "rest_request", "request_id": "r1", "path": "/markets/T1/orderbook?depth=0", "purpose": "poll"}
-    done = {"type": "rest_complete", "request_id": "r1", "status": 200, "failure": None}
-    rows = [frame(1, "r1", "event", request), frame(2, "r1", "in", {"orderbook": {"yes": [["0.4", "10"]], "no": [["0.55", "3"]]}}), frame(3, "r1", "event", done), frame(9, "r2", "event", request | {"request_id": "r2"})]
-    archive.write_segment(str(tmp_path), "venue", "2026-01-01", "s.jsonl.gz", rows)
-    with (tmp_path / "venue/2026-01-01/manifest.jsonl").open("a") as out:
-        out.write('{"file": "torn')
-    segs = archive.segments(spark, str(tmp_path), "venue")
-    assert segs.count() == 1 and archive.overlapping(segs, 10, 20).count() == 0 and archive.overlapping(segs, 9, 20).count() == 1
-    x = archive.rest_exchanges(archive.frames(spark, str(tmp_path), segs))
-    assert {(r.request_id, r.ok) for r in x.collect()} == {("r1", True), ("r2", False)}
-    book = venues.order_book(x.where("ok")).collect()
-    assert {(r.ticker, r.side, r.price_e4, int(r.qty), r.complete) for r in book} == {("T1", 0, 4000, 10, True), ("T1", 1, 5500, 3, True)}
-    assert archive.sealed_through(spark, str(tmp_path)) is None
-    (tmp_path / "sealed_through.json").write_text('{"sealed_through_ms": 100}')
-    w = spark.createDataFrame([("a", 99), ("b", 100), ("c", 5)], "id string, window_end_ms long")
-    ledger = spark.createDataFrame([("c",)], "id string")
-    assert [r.id for r in archive.admitted(w, archive.sealed_through(spark, str(tmp_path)), ledger, ["id"]).collect()] == ["a"]
-    file = tmp_path / "venue/2026-01-01/s.jsonl.gz"
-    file.write_bytes(file.read_bytes()[:-1] + b"x")
-    with pytest.raises(Exception, match="size or hash"):
-        archive.frames(spark, str(tmp_path), segs).count()
-
-
-def order(i, price, qty):
-    return {"orderId": i, "price": price, "qty": qty}
-
-
-def test_replay(spark):
-    snap = {"ts": 1, "snapshot": {"m": {"book": {"seq": 10, "orders": {"A": [order("o1", "0.485", 1000), order("o2", "0.48", 500)], "B": [order("o3", "0.51", 300)]}}}}}
-    delta = lambda ts, seq, *d: {"ts": ts, "delta": {"m": {"book": {"seq": seq, "deltas": list(d)}}}}
-    update = {"kind": "update", "outcomeId": "A", "orderId": "o1", "qty": 400}
-    rows = [frame(100, "c", "in", snap), frame(200, "c", "in", delta(2, 11, update)), frame(300, "c", "in", delta(3, 13)), frame(400, "c", "in", delta(4, 14)), frame(500, "c", "in", {"ts": 5, "snapshot": {"m": {"book": {"seq": 20, "orders": {"A": [], "B": [order("o9", "0.5", 1)]}}}}}), frame(600, "c", "in", {"ts": 6, "snapshot": {"m": {"book": {"seq": 20, "orders": {"A": [], "B": [order("o9", "0.5", 1)]}}}}})]
-    df = spark.createDataFrame([("f", k, r["recv_ts_ms"], r["conn_id"], r["dir"], r["frame"]) for k, r in enumerate(rows)], archive.FRAME.replace("recv_ts_ms long, conn_id string", "recv_ts_ms long, conn_id string"))
-    out = R.replay(R.parts(df)).orderBy("at_ms", "line").collect()
-    assert [(r.at_ms, r.kind, r.reason) for r in out] == [(100, "book", None), (200, "book", None), (300, "gap", "sequence_gap"), (500, "resync", None), (500, "book", None), (600, "probe", "confirmed"), (600, "evidence", "probe_confirmed")]
-    assert json.loads(out[1].bids) == [["0.48", 500], ["0.485", 400]][::-1] and out[2].from_ms == 200
-    ticks = R.writer_rows(R.replay(R.parts(df)).where("kind = 'book'").select("market", "at_ms", "bids", "asks", "relpath", "line")).where("kind = 'tick'").count()
-    assert ticks == 3
-
-
 def test_settlements_and_heads(spark):
     x = spark.createDataFrame([("s", 1, "win"), ("s", 2, "win"), ("s", 3, "lose"), ("s", 4, "win")], "k string, id long, result string")
     assert [(r.id, r.supersedes) for r in facts.settlement_changes(x, "k", ["id"], ["result"], "id").orderBy("id").collect()] == [(1, None), (3, 1), (4, 3)]
