@@ -45,10 +45,11 @@ def complement(p: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's steps; 60 suffice for longs of 42 bits."""
+    """Greatest common divisor by Euclid's steps, of which the smaller number's bits times 1.5 are enough."""
     start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
     step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), (s.x % F.nullif(s.y, F.lit(0))).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda s: s.x)
+    steps = F.ceil(F.log2(F.least(F.abs(a), F.abs(b)).cast("double") + 1) * 1.5).cast("int") + 2
+    return F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s.x)
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -57,19 +58,24 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def reduced(num: Column, den: Column) -> Column:
-    """struct(num, den) in lowest terms, den positive."""
-    g = F.greatest(gcd(num, den), F.lit(1)) * F.when(den < 0, -1).otherwise(1)
-    return F.struct(_div(num.cast("long"), g).alias("num"), _div(den.cast("long"), g).alias("den"))
+    """struct(num, den) in lowest terms, den positive; null if either is null."""
+    own = F.struct(num.cast("long").alias("n"), den.cast("long").alias("d"), (F.greatest(gcd(num, den), F.lit(1)) * F.when(den < 0, -1).otherwise(1)).alias("g"))
+    made = F.transform(F.array(own), lambda v: F.struct(_div(v.n, v.g).alias("num"), _div(v.d, v.g).alias("den")))
+    return F.when(num.isNotNull() & den.isNotNull(), made[0])
 
 
 def rational(num: Column, den: Column) -> Column:
-    """The same for decimals of up to 38 digits, whose lowest terms fit a long; null if either is null."""
-    zero = F.lit(0).cast("decimal(38,0)")
-    start = F.struct(F.abs(num).cast("decimal(38,0)").alias("x"), F.abs(den).cast("decimal(38,0)").alias("y"))
-    step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), (s.x % F.nullif(s.y, zero)).cast("decimal(38,0)").alias("y")))
-    g = F.aggregate(F.sequence(F.lit(1), F.lit(185)), start, step, lambda s: F.greatest(s.x, F.lit(1).cast("decimal(38,0)")))
-    parts = F.transform(F.array(num.cast("decimal(38,0)"), den.cast("decimal(38,0)")), lambda v: _div(v, g).cast("long"))
-    return F.when(num.isNotNull() & den.isNotNull(), F.struct(parts[0].alias("num"), parts[1].alias("den")))
+    """The same for decimals of up to 38 digits, whose lowest terms fit a long; null if either is null. Numbers of 62 bits are reduced as longs."""
+    wide, limit = "decimal(38,0)", 1 << 62
+    n, d = num.cast(wide), den.cast(wide)
+    small = (F.abs(n) < limit) & (F.abs(d) < limit)
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.abs(d).cast("double") + 1) * 1.5).cast("int") + 2)  # Euclid takes fewer
+    zero = F.lit(0).cast(wide)
+    start = F.struct(F.abs(n).cast(wide).alias("x"), F.abs(d).cast(wide).alias("y"))
+    step = lambda s, _: F.when(s.y == 0, s).otherwise(F.struct(s.y.alias("x"), (s.x % F.nullif(s.y, zero)).cast(wide).alias("y")))
+    g = F.when(small, gcd(n.try_cast("long"), d.try_cast("long")).cast(wide)).otherwise(F.aggregate(steps, start, step, lambda s: s.x))
+    made = F.transform(F.array(F.struct(n.alias("n"), d.alias("d"), F.greatest(g, F.lit(1).cast(wide)).alias("g"))), lambda v: F.struct(_div(v.n, v.g).cast("long").alias("num"), _div(v.d, v.g).cast("long").alias("den")))
+    return F.when(num.isNotNull() & den.isNotNull(), made[0])
 
 
 def american_odds(a: Column) -> Column:

@@ -100,9 +100,9 @@ def scores(f: Facts, closes_: DataFrame, defs: list[LiveDef], open_status: dict[
     q_num, q_den = on * dd, d * od + on * dd
     apart = F.abs(q_num * rd - rn * q_den) * OUTLIER[1] > OUTLIER[0] * q_den * rd
     missing = ladder([(F.col("o_num").isNull(), "no_opposite_quote"), (F.col("r_num").isNull(), "no_reference_at_entry")])
-    x = x.withColumns({
-        "ev": rational(cn * d - cd * dd, cd * dd), "null_ev": rational(rn * d - rd * dd, rd * dd), "residual": rational((cn * rd - rn * cd) * d, cd * rd * dd), "q": rational(q_num, q_den),
-    })
+    # Out of a generator, so that each fraction is reduced once and not at each mention.
+    made = F.struct(rational(cn * d - cd * dd, cd * dd).alias("ev"), rational(rn * d - rd * dd, rd * dd).alias("null_ev"), rational((cn * rd - rn * cd) * d, cd * rd * dd).alias("residual"), rational(q_num, q_den).alias("q"))
+    x = x.select("*", F.explode(F.array(made)).alias("made")).select("*", "made.*").drop("made")
     return x.select(
         "entry_id", "venue", "def_name", "quote_id", "d_num", "d_den", F.col("c_num").alias("p_close_num"), F.col("c_den").alias("p_close_den"), F.col("r_num").alias("p_ref_num"), F.col("r_den").alias("p_ref_den"),
         "ref_tick_id", F.coalesce("ref_reason", "at_reason").alias("ref_entry_reason"), *(F.col(f"{k}.{s}").alias(f"{k}_{s}") for k in ("ev", "null_ev", "residual", "q") for s in ("num", "den")),

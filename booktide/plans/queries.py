@@ -323,17 +323,6 @@ def ols_cluster_k2(spark, d):
     return spark.createDataFrame([row], "n long, n_clusters long, b0 double, b1 double, se0 double, se1 double")
 
 
-@query()
-def martingale_check(spark, d):
-    """The centred linear and quadratic terms, tested against their margins."""
-    p = A.read(spark, d, "lineitem").select("l_orderkey", (F.col("l_discount") * 5).alias("p"), (F.col("l_tax") - F.col("l_discount")).alias("y"))
-    mean = p.agg(F.avg("p")).first()[0]
-    x = p.withColumns({"linear": F.col("p") - mean, "quadratic": (F.col("p") - mean) ** 2})
-    f = stats.ols_cluster(x, "y", ["linear", "quadratic"], "l_orderkey")
-    rows = [(n, v, s, f.within(k, m)) for k, (n, v, s, m) in enumerate(zip(("intercept", "slope", "curvature"), f.value, f.se, (0.005, 0.05, 0.016)))] or [("insufficient_data", None, None, None)]
-    return spark.createDataFrame(rows, "term string, value double, se double, passed boolean")
-
-
 @query("SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(l_tax - l_discount), 8) AS mean FROM (SELECT *, (rank() OVER (ORDER BY l_discount) - 1) * 5 // count(*) OVER () AS bin FROM lineitem) GROUP BY 1")
 def binned_lack_of_fit(spark, d):
     x = stats.ranked_bins(A.read(spark, d, "lineitem"), "l_discount", 5)
