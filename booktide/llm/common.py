@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import gc
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table whose size is counted first may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Rows of a batch that goes to Python.
+ARROW_ROWS = 1000
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: dict[str, str] = {}
@@ -27,8 +29,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package sent to the executors once for each Spark context."""
-    context = df.sparkSession.sparkContext
+    """df.mapInArrow, with this package sent to the executors once for each Spark context.
+
+    Batches have ARROW_ROWS rows unless the session says otherwise: rows can be long texts, and a batch is held by both sides.
+    """
+    context, conf = df.sparkSession.sparkContext, df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if _shipped.get("to") != context.applicationId:
         top = Path(__file__).resolve().parents[1]
         path = f"{tempfile.mkdtemp()}/{top.name}.zip"
@@ -44,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: spark.checkpoint.dir, or one of our own where that is unset (tests, one machine)."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster scratch tables need a folder that all machines share")
         at = "file:///tmp/checkpoints/booktide"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -65,15 +74,25 @@ def forget() -> None:
     """Delete the scratch tables of this program."""
     while _scratch:
         spark, path = _scratch.pop()
-        with contextlib.suppress(Exception):  # the session may be gone already
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if spark.sparkContext._jsc is None:  # the session is gone already
+            print(f"left behind: {path}", file=sys.stderr)
+            continue
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 atexit.register(forget)
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """name, with as many underscores after it as it takes to be none of columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a kept table, if a count shows that it is small; else the table itself, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,47 +7,70 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, kept
+from .common import bounded, components, fresh, kept
 
 #: Characters of a shingle; lines link at this Jaccard similarity or above.
 CHARS, SIMILARITY = 8, 0.8
 #: Bands and rows of the signature: a pair at 0.8 shares a band with a chance of 1 - (1 - 0.8**5)**12 = 0.991.
 BANDS, ROWS = 12, 5
 #: Shingles that are taken at a time: their least hash is found before the row goes into the aggregate.
-CHUNK = 4
-#: Bits by which hashes are turned from band to band, so that bands order the shingles independently; inside a band masks do.
-TURN = 5
+CHUNK = 8
 #: Lines of a band that are paired at once; larger bands are dealt out as pairs of blocks.
 BLOCK = 512
-#: Rows of a single long that may be broadcast (16 MB).
+#: Rows of a few longs that may be broadcast (32 MB).
 WANTED_ROWS = 1_000_000
 
 
-def spaced(lines: DataFrame, line: str, out: str) -> DataFrame:
-    """lines with the line as it is compared: lower case, white space (ASCII) as single spaces, one before the first word."""
+def spaced(line: Column) -> Column:
+    """The line as it is compared: lower case, white space (ASCII) as single spaces, one before the first word."""
     odd = F.contains(line, F.lit("  "))
     for c in "\t\r\x0b\x0c":
         odd = odd | F.contains(line, F.lit(c))
-    return lines.withColumn(out, F.when(odd, F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " ")).otherwise(F.col(line))).withColumn(out, F.concat(F.lit(" "), F.lower(F.trim(F.col(out)))))
+    return F.concat(F.lit(" "), F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\r\x0b\x0c]+", " ")).otherwise(line))))
 
 
-def _every(line: Column) -> Column:
-    """All shingles of a line; a shorter line is its own."""
-    return F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{CHARS}}}))"), F.lit(1)))
+def made(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are made once for each row: they come out of a generator, else Catalyst makes them again at each mention."""
+    out = df.select("*", F.explode_outer(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("_made"))
+    return out.select(*df.columns, *(F.col("_made")[k].alias(k) for k in columns))
 
 
-def _turned(x: Column, bits: int) -> Column:
-    """A long with its bits turned to the left."""
-    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits)) if bits else x
+def _cut(df: DataFrame, line: str) -> DataFrame:
+    """df with the line as it is compared in UTF-16 (raw), where a shingle is cut out by its place, and the place of its last shingle (last).
+
+    Characters are units of UTF-16; those beyond the basic plane count as two. A line of fewer than CHARS characters is its own shingle.
+    """
+    raw = made(df, raw=F.encode(spaced(F.col(line)), "UTF-16BE"))
+    return raw.withColumn("last", F.greatest((F.octet_length("raw") / 2).cast("int") - CHARS, F.lit(0)))
 
 
-def _set(lines: DataFrame, line: str, out: str) -> DataFrame:
-    """lines with the set of all shingles of a line, as hashes."""
-    return spaced(lines, line, "_l").withColumn(out, F.array_distinct(F.transform(_every(F.col("_l")), lambda x: F.xxhash64(x)))).drop("_l")
+def with_set(df: DataFrame, line: str, out: str) -> DataFrame:
+    """df with the set of all shingles of a line as distinct hashes."""
+    places = F.sequence(F.lit(1), F.col("last") * 2 + 1, F.lit(2))
+    hashed = made(_cut(df, line), hashes=F.transform(places, lambda i: F.xxhash64(F.substring("raw", i, F.lit(2 * CHARS)))))
+    return made(hashed, **{out: F.array_distinct("hashes")}).drop("raw", "last", "hashes")
+
+
+def with_bands(lines: DataFrame) -> DataFrame:
+    """lines (h, h2, line, n, at) with the bands of the signature in place of the line: the least hash of all shingles under BANDS * ROWS orders.
+
+    An order turns over some bits of the hashes, each its own. Shingles come out of a generator, so that all of this is compiled; lines
+    are in one place already, so the minima need no exchange.
+    """
+    masks = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS * ROWS)]
+    own = ["h", "h2", "n", "at"]
+    chunks = _cut(lines, "line").select(*own, "raw", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))).alias("i"))
+    hashed = chunks.select(*own, *(F.xxhash64(F.substring("raw", F.least(F.col("i") + k, "last") * 2 + 1, F.lit(2 * CHARS))).alias(f"x{k}") for k in range(CHUNK)))
+    least = hashed.groupBy("h", "h2").agg(
+        F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
+        *(F.min(F.least(*(F.col(f"x{c}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
+    )
+    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
+    return least.select("h", "h2", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands"))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line that is not blank: doc_id, row (a hash that tells documents apart), pos, line, and two hashes of the line.
+    """A row for each line that is not blank: doc_id, row (a hash that tells documents of one id apart), pos, line, and two hashes of the line.
 
     The outer form spares the filter on the array that Catalyst puts below the other one, which splits each text once more.
     """
@@ -56,22 +79,18 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
-def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of hashes of lines whose sets of all shingles link."""
-    wanted = kept(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct())
-    texts = kept(_occurrences(docs).select("h", "line").join(bounded(wanted, WANTED_ROWS), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-    side = lambda h, s: texts.select(F.col("h").alias(h), F.col("line").alias(s))
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines whose sets of all shingles link. texts: id, line."""
+    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s))
     both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
-    # Sets and their intersection come out of generators, so that the filter uses what they made; else it makes each set again for each mention.
-    sets = _set(_set(both, "p", "x"), "q", "y").select("a", "b", F.explode_outer(F.array(F.struct("x", "y"))).alias("s"))
-    sizes = sets.select("a", "b", (F.size("s.x") + F.size("s.y")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("s.x", "s.y")))).alias("c"))
-    return sizes.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+    sets = made(with_set(with_set(both, "p", "x"), "q", "y"), c=F.size(F.array_intersect("x", "y")), n=F.size("x") + F.size("y"))
+    return sets.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
 
 
 def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines that share a band and are in different components of groups, each once.
 
-    members has h, band and the band's n lines, of which the smallest and the largest hash have been compared with all others; so bands of
+    members has h (a line), band and the band's n lines, of which the smallest and the largest have been compared with all others; so bands of
     up to three lines are done. Large bands are dealt out as pairs of blocks: rows dealt and pairs grow with the square of such a band.
     """
     named = members.where("n > 3").join(bounded(groups), F.col("h") == F.col("id"), "left").select("h", "band", "n", F.coalesce("component", "h").alias("g"))
@@ -81,46 +100,38 @@ def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     dealt = named.join(bounded(kept(mixed), WANTED_ROWS), "band", "left_semi").withColumn("side", F.pmod(F.xxhash64("h"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = kept(dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "h", "g", "side"))
-    one = lambda h, g, s: dealt.select("band", "i", "j", F.col("h").alias(h), F.col("g").alias(g), F.col("side").alias(s))
+    one = lambda i, g, s: dealt.select("band", "i", "j", F.col("h").alias(i), F.col("g").alias(g), F.col("side").alias(s))
     both = one("a", "ga", "sa").hint("merge").join(one("b", "gb", "sb"), ["band", "i", "j"])
     return kept(both.where("a < b and ga <> gb and (i = j or sa <> sb)").select("a", "b").distinct(), release=True)
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
-    """The distinct lines that repeat or link: h (hash of the line) and keep (doc_id, pos and row of the occurrence that stays).
+    """The distinct lines that repeat or link: h and h2 (hashes of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
-    Lines of equal text are one. The signature is the least hash of all shingles under BANDS * ROWS orders. Lines that share a
-    band are first compared with the band's smallest and its largest line, which joins large groups of near copies along stars; then all
-    pairs of a band that are not in one component yet (see _open_pairs). A link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
+    Lines of equal text are one (told apart by 128 bits) and get a number. The signature is of all shingles (see with_bands). Lines that share a band are first compared with the band's smallest and its largest number, which joins large
+    groups of near copies along stars; then all pairs of a band that are not in one component yet (see _open_pairs). A link needs the
+    exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
-    masks = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS * ROWS)]
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
-    own = ["h", "h2", "at", "n"]
-    shingled = spaced(lines, "line", "line").select(*own, _every(F.col("line")).alias("s")).select(*own, "s", (F.size("s") - 1).alias("top"))
-    chunks = shingled.select(*own, "s", "top", F.explode_outer(F.sequence(F.lit(0), "top", F.lit(CHUNK))).alias("i"))
-    hashed = chunks.select(*own, *(F.xxhash64(F.get("s", F.least(F.col("i") + k, "top"))).alias(f"x{k}") for k in range(CHUNK)))
-    turned = hashed.select(*own, *(_turned(F.col(f"x{k}"), b * TURN).alias(f"x{k}_{b}") for k in range(CHUNK) for b in range(BANDS)))
-    least = turned.groupBy("h", "h2").agg(
-        F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
-        *(F.min(F.least(*(F.col(f"x{c}_{k // ROWS}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
-    )
-    bands = [F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)]
-    signed = kept(least.select("h", "n", F.struct("doc_id", "pos", "row").alias("at"), F.array(*bands).alias("bands")), release=True)
+    signed = kept(with_bands(lines).select(F.monotonically_increasing_id().alias("id"), "h", "h2", "n", "at", "bands"), release=True)
 
-    banded = signed.select("h", F.explode("bands").alias("band"))
-    shared = kept(banded.groupBy("band").agg(F.min("h").alias("first"), F.max("h").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
+    banded = signed.select("id", F.explode("bands").alias("band"))
+    shared = kept(banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
     inside = banded.join(bounded(kept(shared.select("band")), WANTED_ROWS), "band", "left_semi")
     members = kept(inside.join(bounded(shared), "band"), release=True)
-    near = members.select("h", F.explode(F.array("first", "last")).alias("o")).where("h <> o")
-    near = kept(near.select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct(), release=True)
-    links = kept(_linked(near, docs))
-    more = _linked(_open_pairs(members, kept(components(links))), docs)
+    wanted = kept(signed.select("id", "h", "h2").join(bounded(kept(members.select("id").distinct()), WANTED_ROWS), "id", "left_semi"))
+    texts = kept(_occurrences(docs).select("h", "h2", "line").join(bounded(wanted, WANTED_ROWS), ["h", "h2"]).groupBy("id").agg(F.first("line").alias("line")), release=True)
+
+    near = members.select("id", F.explode(F.array("first", "last")).alias("o")).where("id <> o")
+    near = kept(near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), release=True)
+    links = kept(_linked(near, texts), release=True)
+    more = kept(_linked(_open_pairs(members.withColumnRenamed("id", "h"), kept(components(links))), texts), release=True)
 
     group = kept(components(links.union(more)))
-    grouped = signed.join(bounded(group), F.col("h") == F.col("id"), "left").select("h", "n", "at", F.coalesce("component", "h").alias("g"), F.col("component").isNotNull().alias("many"))
+    grouped = signed.join(bounded(group), "id", "left").select("h", "h2", "n", "at", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     open_ = kept(grouped.where("n > 1 or many"))
     keep = kept(open_.groupBy("g").agg(F.min("at").alias("keep")))
-    return open_.join(bounded(keep), "g").select("h", "keep")
+    return open_.join(bounded(keep), "g").select("h", "h2", "keep")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -128,20 +139,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Over all documents one line of each component stays (see line_groups); blank lines always stay. Lines are parted by line feeds and
     compared in lower case with single spaces. A null text stays null with 0 lines, an empty one has one (blank) line. Rows equal in id and
-    text are one document, and all of them keep what it keeps. n_chars is counted anew if there is such a column.
+    text are one document, and all of them keep what it keeps; a null id is an id. n_chars is counted anew if there is such a column. Columns
+    of docs that are called n_lines or n_kept stay as they are; the counts then have underscores after their names. An empty table stays empty.
     """
-    docs = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     groups = kept(line_groups(docs.select("doc_id", "text")))
-    spots = _occurrences(docs.select("doc_id", "text")).select("doc_id", "row", "pos", "h").join(bounded(groups), "h")
+    spots = _occurrences(docs.select("doc_id", "text")).select("doc_id", "row", "pos", "h", "h2").join(bounded(groups), ["h", "h2"])
     spots = spots.where(~F.struct("doc_id", "pos", "row").eqNullSafe(F.col("keep")))
-    gone = kept(spots.groupBy(F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone")))
-    out = docs.join(gone, "_row", "left").withColumn("_lines", F.split("text", "\n"))
-    left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.element_at("_lines", i + 1))
-    )
-    out = out.withColumn("_left", left)
-    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    out = out.withColumns({"text": F.array_join("_left", "\n"), "n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(size("_lines")).cast("long"), "n_kept": F.when(F.col("_left").isNull(), 0).otherwise(size("_left")).cast("long")})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.drop("_row", "_gone", "_lines", "_left")
+    name = {k: fresh(k, docs.columns) for k in ("n_lines", "n_kept", "_doc", "_row", "_of", "_gone", "_lines", "_left")}
+    doc, row, of, gone, lines, left = (name[k] for k in ("_doc", "_row", "_of", "_gone", "_lines", "_left"))
+    away = kept(spots.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(of)).agg(F.collect_set("pos").alias(gone)))
+    out = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    out = out.join(away, (out[row] == away[of]) & out["doc_id"].eqNullSafe(away[doc]), "left").withColumn(lines, F.split("text", "\n"))
+    stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
+    out = out.withColumn(left, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(stays))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    text = F.array_join(left, "\n")
+    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    return out.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns), size(lines).alias(name["n_lines"]), size(left).alias(name["n_kept"]))
