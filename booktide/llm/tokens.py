@@ -8,8 +8,10 @@ import re
 import struct
 from collections.abc import Callable
 
-#: Strings to remember at most; then the cache starts anew.
-REMEMBERED = 1_500_000
+#: Bytes that remembered strings and their ids may take, about; then the cache starts anew.
+REMEMBERED = 32 << 20
+#: What an entry takes besides its characters and ids: two objects and its share of the table.
+_ENTRY = 250
 #: Only of these characters is a string split here; others, and strings like special tokens, go to the library whole.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]+")
 #: The file's pattern for pieces, as it reads on those characters.
@@ -37,12 +39,14 @@ class _Cache(dict):
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.letters = str.maketrans({chr(b): x for b, x in _bytes_as_letters().items()})
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         self.model = self.whole.model
 
     def __missing__(self, text: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if self.held >= REMEMBERED:
             self.clear()
             self.parts.clear()
+            self.held = 0
         if _PLAIN.fullmatch(text) and not self.special.search(text):
             low, parts = text.lower(), self.parts  # these characters are in normal form C already
             out = (parts.get(low) or self.part(low)) if low.isalpha() else b"".join([parts.get(p) or self.part(p) for p in _PIECE.findall(low)])
@@ -51,6 +55,7 @@ class _Cache(dict):
             out = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= 100:
             self[text] = out
+            self.held += _ENTRY + len(text) + len(out)
         return out
 
     def part(self, text: str) -> bytes:
@@ -58,6 +63,7 @@ class _Cache(dict):
         out = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= 100:
             self.parts[text] = out
+            self.held += _ENTRY + len(text) + len(out)
         return out
 
 

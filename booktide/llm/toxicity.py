@@ -25,6 +25,11 @@ FOLDS = 5
 _SECOND, _SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches in parts, so that few texts are Python strings at a time."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def features(words: np.ndarray) -> np.ndarray:
     """Buckets of the words, of the pairs of neighbours, and of the pairs with one word between; not yet distinct."""
     pairs = mixed(words[:-1] * _SECOND + words[1:])
@@ -61,7 +66,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> np.ndarr
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             own = [distinct(features(w)).tobytes() for w in words_of(batch.column("text").to_pylist(), bare=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(own, pa.binary())], ["doc_id", "toxic", "own"])
 
@@ -84,12 +89,15 @@ def held_out():
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row. Whole texts are read; an empty or null text scores by the bias alone."""
+    """doc_id, held_out, score, predicted of each row. Whole texts of any length are read; an empty or null text scores by the bias alone.
+
+    Repeated rows each get a row and score alike; a null id counts as an empty text for held_out; other columns play no part; an empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for own in words_of(batch.column("text").to_pylist(), bare=True):
                 at = features(own)
@@ -101,14 +109,17 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def clean(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The rows of docs, whole, whose text scores below 0.5; all rows if nothing was learnt (all weights are 0)."""
+    """The rows of docs, whole, whose text scores below 0.5; all rows if nothing was learnt (all weights are 0).
+
+    Null and empty texts score by the bias alone, repeated rows alike; columns of any name stay; an empty table stays empty.
+    """
     if not weights.any():
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             keep = []
             for own in words_of(batch.column("text").to_pylist(), bare=True):
                 at = features(own)
