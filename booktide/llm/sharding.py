@@ -10,8 +10,6 @@ from .common import ranked
 #: Fixed values of the published algorithm: the generator's multiplier, in halves of 32 bits.
 MULTIPLIER = 2862933555777941757
 LOW32 = 0xFFFFFFFF
-#: Jumps at most; a key makes about ln(shards) of them, so more have a probability under 1e-70 for any count of shards below 2**31.
-MOST_JUMPS = 128
 
 
 def _times32(x: Column, y: int) -> Column:
@@ -23,7 +21,8 @@ def jump(key: Column, shards: int) -> Column:
     """struct(shard, grown): the key's shard among ``shards``, and among one more.
 
     The points at which a key moves as shards are added form one rising sequence; the last point under a count is its shard. So one pass
-    gives both answers, and ``grown`` differs from ``shard`` only where it is the new shard. A null key counts as 0.
+    gives both answers, and ``grown`` differs from ``shard`` only where it is the new shard. A null key counts as 0. Each jump moves on by
+    one shard at least, so shards + 1 steps end it; about ln(shards) of them do something.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -43,7 +42,7 @@ def jump(key: Column, shards: int) -> Column:
         return F.when(s.j > shards, s).otherwise(moved)
 
     end = lambda s: F.struct(s.a.cast("int").alias("shard"), s.b.cast("int").alias("grown"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(min(shards + 1, MOST_JUMPS))), start, step, end)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step, end)
 
 
 def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
