@@ -246,12 +246,6 @@ def link_exactly_one(spark, d):
     return facts.exactly_one(c, o, ["k"], F.col("o_totalprice") > 200000, "id", "other")
 
 
-@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND list_sort([a.n_regionkey % 3, a.n_nationkey % 4]) = list_sort([b.n_regionkey % 3, b.n_nationkey % 4])")
-def discovery_sets(spark, d):
-    n = A.read(spark, d, "nation").select("n_nationkey", F.array_sort(F.array(F.col("n_regionkey") % 3, F.col("n_nationkey") % 4)).alias("names"))
-    return n.alias("a").join(n.alias("b"), "names").where("a.n_nationkey < b.n_nationkey").select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
-
-
 @query(sql("SELECT instrument, id, result, lag(id) OVER (PARTITION BY instrument ORDER BY at_ms, id) AS supersedes FROM (SELECT *, lag(result) OVER (PARTITION BY instrument ORDER BY at_ms, id) AS before FROM observations) WHERE before IS NULL OR before <> result", "observations"))
 def settlement_changes(spark, d):
     x = facts.settlement_changes(A.observations(spark, d).drop("supersedes"), "instrument", ["at_ms", "id"], ["result"], "id")
@@ -287,17 +281,6 @@ def coverage_waterfall(spark, d):
     return facts.waterfall(A.observations(spark, d), STEPS, why)
 
 
-@query(sql("SELECT at_ms // 86400000 AS day, count(*) FILTER (status = 'click') AS click, count(*) FILTER (status = 'error') AS error, count(*) FILTER (status = 'view') AS view FROM ticks GROUP BY 1", "ticks"))
-def verdict_pivot(spark, d):
-    x = A.ticks(spark, d).withColumn("day", F.floor(F.col("at_ms") / DAY)).groupBy("day").pivot("status", ["click", "error", "view"]).count()
-    return x.select("day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("click", "error", "view")))
-
-
-@query("SELECT o_orderstatus AS source, CAST(count(*) AS BIGINT) AS segments, round(sum(o_totalprice), 2) AS bytes, CAST(count(*) FILTER (o_orderkey % 13 = 0) AS BIGINT) AS unclean FROM orders GROUP BY 1")
-def storage_report(spark, d):
-    return A.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count(F.lit(1)).alias("segments"), F.round(F.sum("o_totalprice"), 2).alias("bytes"), F.count_if(F.col("o_orderkey") % 13 == 0).alias("unclean"))
-
-
 @query(sql(f"SELECT CAST(least(coalesce(t0, 0), coalesce(t1, 0)) // 1000 AS BIGINT) AS bucket, count(*) AS books, count(*) FILTER (least(coalesce(t0, 0), coalesce(t1, 0)) >= {DEPTH}) AS deep FROM ({TWO}) GROUP BY 1", "levels"))
 def depth_report(spark, d):
     low = F.least(F.coalesce("taken0", F.lit(0)), F.coalesce("taken1", F.lit(0)))
@@ -341,11 +324,6 @@ def dispersion_quantiles(spark, d):
     return x.select(F.col("l_returnflag").alias("flag"), *(F.round(c, 6).alias(c) for c in x.columns[1:]))
 
 
-@query("SELECT event_type AS status, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY 1")
-def nearest_rank(spark, d):
-    return A.read(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("median"), F.expr("percentile_disc(0.9) within group (order by value)").alias("p90"))
-
-
 @query("SELECT round(sum(abs(s) * m), 6) AS bound FROM (SELECT l_suppkey, sum((l_discount - 0.05) * l_tax) AS s, max(l_tax) AS m FROM lineitem GROUP BY 1)")
 def drift_bound(spark, d):
     x = A.read(spark, d, "lineitem").select("l_suppkey", (F.col("l_discount") - 0.05).alias("w"), F.col("l_tax").alias("basis"))
@@ -362,19 +340,6 @@ def url_parse(spark, d):
     return A.read(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"))
 
 
-@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'assistant') AS bodies, min(turn) FILTER (role = 'assistant') AS first_body, CAST(count(*) FILTER (role = 'assistant') > 0 AS INTEGER) AS ok FROM conversations GROUP BY 1")
-def rest_sessionize(spark, d):
-    a = F.col("role") == "assistant"
-    return A.read(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(a).alias("bodies"), F.min(F.when(a, F.col("turn"))).alias("first_body"), (F.count_if(a) > 0).cast("int").alias("ok"))
-
-
-@query("SELECT c.conv_id, c.turn, c.role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.role = 'assistant' AND p.turn < c.turn)")
-def first_pitch_prefix(spark, d):
-    w = Window.partitionBy("conv_id")
-    x = A.read(spark, d, "conversations").withColumn("_first", F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(w))
-    return x.where("_first is null or turn <= _first").select("conv_id", "turn", "role")
-
-
 @query("SELECT instrument, min(day) AS first_day, count(*) AS n FROM (SELECT user_id AS instrument, epoch_us(ts) // 86400000000 AS day FROM events WHERE event_id <= (SELECT max(event_id) FROM events) // 2) GROUP BY 1")
 def snapshot_read(spark, d):
     t = A.ticks(spark, d)
