@@ -228,3 +228,40 @@ def test_gate(spark):
     assert set(judge(7, "m", "book", "reconnect", 80, 200, "x", "q", "c").problems) == {"reason", "start", "closes_at_no_snapshot"}
     g = reports.gate(reports.judged(want, table(spark, gap, (7, "m", "book", "sequence_gap", 90, 200, "x", "s", "c")), ev, sn), f, 1).first()
     assert not g.passed and g.n_wrong == 0 and g.n_without_result == 1 and g.sequence_skip == 1
+
+
+def test_coverage(spark):
+    events = table(spark, "event_id long, game long", (1, 11), (2, 12), (3, 13))
+    detail = json.dumps({"home": "H", "official_date": "2026-04-01", "status": "Final", "double_header": "N"})
+    aliases = table(spark, "alias_id long, event_id long, provider string, detail string", *((k, e, "mlb_statsapi", detail) for k, e in enumerate((1, 2, 3))))
+    outcomes = table(spark, "outcome_id long, event_id long, abbreviation string", *((10 * e + k, e, a) for e in (1, 2, 3) for k, a in enumerate(("H", "A"))))
+    insts = table(spark, "instrument long, venue string, native_id string", *((100 + e, "kalshi", f"k{e}") for e in (1, 2)), *((200 + e, "novig", f"n{e}") for e in (1, 2)))
+    m = table(spark, "mapping_id long, instrument long, side int, outcome_id long, polarity string, status string, equivalence string, supersedes long", *((e, 100 + e, 0, 10 * e, "direct", "exact" if e == 1 else "fuzzy_candidate", "equivalent", None) for e in (1, 2)), *((10 + e, 200 + e, 0, 10 * e, "direct", "exact", "equivalent", None) for e in (1, 2)))
+    claims = table(spark, "event_id long, source string, kind string, at_ms long", *((e, "mlb_statsapi", "first_pitch", START) for e in (1, 2)))
+    candles = candle_rows(spark, (CUT - 120_000, CUT - 60_000, 1, 2), (START - 900_000 - 90_000, START - 900_000 - 30_000, 1, 2)).withColumn("instrument", F.lit(101).cast("long"))
+    sightings = table(spark, "sighting_id long, execution_id long, instrument long, role string, venue_ts_ms long", *((k, k, 201, "maker", CUT - 1000 - k) for k in range(5)), (9, 9, 101, "tape", CUT - 5))
+    executions = table(spark, "execution_id long, instrument long, payout_cents long", *((k, 201, 6000) for k in range(5)), (9, 101, 100))
+    t = links.coverage(events, aliases, outcomes, insts, identity.current_mappings(m), claims, candles, sightings, executions)
+    got = {r.game: r for r in t.collect()}
+    assert (got[11].off, got[11].kalshi_link, got[11].kalshi_candle_age_s, got[11].kalshi_candle_age_s_at_900, got[11].kalshi_candle_age_s_at_3600, got[11].kalshi_trades_in_window, got[11].kalshi_reason) == ("trusted", "exact", 60, 30, None, 1, "ok")
+    assert (got[11].novig_executions_in_window, got[11].novig_window_payout_cents, got[11].novig_reason, got[11].official_date) == (5, 30_000, "ok", "2026-04-01")
+    assert (got[12].kalshi_reason, got[12].novig_reason, got[13].off, got[13].kalshi_reason) == ("mapping_unverified", "vwap_insufficient", "no_trusted_off", "no_trusted_off")
+    assert [(r.step, r.dropped, r.left) for r in links.coverage_waterfall(t, "kalshi").collect()] == [("no_trusted_off", 1, 2), ("off_disagreement", 0, 2), ("no_link", 0, 2), ("mapping_unverified", 1, 1), ("no_candle_before_cutoff", 0, 1)]
+    assert links.candle_conflicts(candles).first().conflicts == 0
+
+
+def test_quiet_and_leads(spark):
+    acts = table(spark, "instrument long, observed_ms long", *((1, START + 1000 * s) for s in (-100_000, -99_990, -30_000, -100, -90, -90, 3000, 3010)))
+    ev = table(spark, "instrument long, scope string, start_ms long, from_ms long, to_ms long", (1, "s", START, 0, START + 10**9))
+    gaps = table(spark, "scope string, open_ms long, close_ms long", ("s", START - 95_000, None))
+    got = {r.bucket: (r.n, r.gapped, r.longest_s) for r in reports.quiet_by_start(acts, ev, gaps).collect()}
+    assert got["before -86400"] == (2, 0, 69990.0) or got["before -86400"][0] + got["before -86400"][1] == 2
+    assert got["-900 to 1800"][1] == 2 and got["after 1800"] == (0, 1, None)
+    listed = table(spark, "market string, league string, at_ms long", ("a", "L", 1000), ("a", "L", 5000), ("b", "L", 2_000_000))
+    mk = table(spark, "market string, league string, start_ms long", ("a", "L", 9_000_000), ("b", "L", 9_000_000), ("c", "L", 1))
+    assert {r.market: (r.lead_ms, r.censored) for r in reports.listing_leads(listed, mk).collect()} == {"a": (8_999_000, True), "b": (7_000_000, False), "c": (None, None)}
+    e = [{"type": "probe_sent", "channel": "book", "markets": ["a", "b"], "outside_dense": ["a"]}, {"type": "probe_skipped", "channel": "book", "markets": ["a"]}]
+    p = reports.probe_tallies(table(spark, "frame string", *((json.dumps(x),) for x in e)))
+    assert sorted(tuple(r) for r in p.collect()) == [("probe_sent", "book", "dense", 1), ("probe_sent", "book", "quiet", 1), ("probe_skipped", "book", "unclassified", 1)]
+    s = table(spark, "source string, state string", ("x", "OK"), ("x", "WARN"), ("y", "OK"))
+    assert {r.source: r.state for r in reports.capture_status(s).collect()} == {"x": "WARN", "y": "OK", None: "WARN"}
