@@ -327,7 +327,11 @@ def read_back(formatted: str) -> Iterable[tuple[str, str]]:
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """From formatted chats, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """From formatted chats, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    A null conv_id is carried along; without generated parts loss_chars is 0 and the hash that of the empty text; repeated rows each get a
+    row, an empty table gives none. Texts of any length are read whole; other columns play no part.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
