@@ -44,11 +44,9 @@ def _cut(df: DataFrame, line: str) -> DataFrame:
     return raw.withColumn("last", F.greatest((F.octet_length("raw") / 2).cast("int") - CHARS, F.lit(0)))
 
 
-def with_set(df: DataFrame, line: str, out: str) -> DataFrame:
-    """df with the set of all shingles of a line as distinct hashes."""
-    places = F.sequence(F.lit(1), F.col("last") * 2 + 1, F.lit(2))
-    hashed = made(_cut(df, line), hashes=F.transform(places, lambda i: F.xxhash64(F.substring("raw", i, F.lit(2 * CHARS)))))
-    return made(hashed, **{out: F.array_distinct("hashes")}).drop("raw", "last", "hashes")
+def _shingle(at: Column) -> Column:
+    """The hash of the shingle at a place of a line that _cut has prepared."""
+    return F.xxhash64(F.substring("raw", at * 2 + 1, F.lit(2 * CHARS)))
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
@@ -60,7 +58,7 @@ def with_bands(lines: DataFrame) -> DataFrame:
     masks = [random.Random(k).getrandbits(64) - (1 << 63) for k in range(BANDS * ROWS)]
     own = ["h", "h2", "n", "at"]
     chunks = _cut(lines, "line").select(*own, "raw", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))).alias("i"))
-    hashed = chunks.select(*own, *(F.xxhash64(F.substring("raw", F.least(F.col("i") + k, "last") * 2 + 1, F.lit(2 * CHARS))).alias(f"x{k}") for k in range(CHUNK)))
+    hashed = chunks.select(*own, *(_shingle(F.least(F.col("i") + k, "last")).alias(f"x{k}") for k in range(CHUNK)))
     least = hashed.groupBy("h", "h2").agg(
         F.max("n").alias("n"), F.first("at.doc_id").alias("doc_id"), F.first("at.pos").alias("pos"), F.first("at.row").alias("row"),
         *(F.min(F.least(*(F.col(f"x{c}").bitwiseXOR(m) for c in range(CHUNK)))).alias(f"m{k}") for k, m in enumerate(masks)),
@@ -80,11 +78,17 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of lines whose sets of all shingles link. texts: id, line."""
+    """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line.
+
+    A pair's shingles are rows of one task: each distinct one is marked by the sides that have it, and marks are counted.
+    """
     side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s))
-    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b")
-    sets = made(with_set(with_set(both, "p", "x"), "q", "y"), c=F.size(F.array_intersect("x", "y")), n=F.size("x") + F.size("y"))
-    return sets.where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").repartition("a", "b")
+    lines = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("line")), F.struct(F.lit(2).alias("side"), F.col("q").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
+    cut = _cut(lines, "line").select("a", "b", "side", "raw", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
+    marks = cut.select("a", "b", "side", _shingle(F.col("i")).alias("x")).groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
+    counts = marks.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sides") == 3).alias("c"))
+    return counts.where(F.col("c") >= SIMILARITY * F.col("n")).select("a", "b")
 
 
 def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
