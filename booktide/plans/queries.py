@@ -234,9 +234,17 @@ def nearest_match_candidates(spark, d):
     return _candidates(spark, d).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("execution_id", F.struct(F.abs(F.col("s_ms") - F.col("e_ms")), "execution_id")).alias("nearest"))
 
 
-@query()
+@query(
+    sql(
+        """, o AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY at_ms, sid) AS k FROM (SELECT s.instrument, s.at_ms, s.tick_id AS sid, list(e.tick_id ORDER BY abs(s.at_ms - e.at_ms), e.tick_id) AS near FROM ticks s JOIN ticks e ON e.instrument = s.instrument AND s.status = 'view' AND e.status = 'click' AND abs(s.at_ms - e.at_ms) <= 86400000 AND abs(s.price_e4 - e.price_e4) < 600 GROUP BY ALL)),
+        g AS (SELECT DISTINCT instrument, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS sid, NULL::BIGINT AS eid FROM o UNION ALL SELECT instrument, k, CASE WHEN x IS NULL THEN taken ELSE list_append(taken, x) END, sid, x
+            FROM (SELECT o.*, g.taken, list_filter(o.near, lambda z: NOT list_contains(g.taken, z))[1] AS x FROM g JOIN o ON o.instrument = g.instrument AND o.k = g.k + 1))
+        SELECT sid AS stream_id, eid AS execution_id FROM g WHERE eid IS NOT NULL""",
+        "ticks",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+)
 def greedy_trade_match(spark, d):
-    return trades.greedy_match(_candidates(spark, d), ["instrument"])
+    return trades.greedy_match(_candidates(spark, d), ["instrument"], DAY)
 
 
 @query(sql("SELECT c.c_custkey AS id, coalesce(x.n, 0) AS n, CASE WHEN x.n = 1 THEN x.o END AS other, CASE WHEN x.n = 1 THEN 'clean' WHEN x.n > 1 THEN 'edge' ELSE 'excluded' END AS status FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_orderkey) AS o FROM orders WHERE o_totalprice > 200000 GROUP BY 1) x ON x.o_custkey = c.c_custkey"))
