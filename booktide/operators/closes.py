@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SCALE, ladder, reduced
+from ..functions.tables import held
 from . import books, series, trades
 
 #: The sources of a venue in order of preference, its status of an open market, gap reasons that are told as they are,
@@ -130,7 +131,8 @@ def price_as_of(requests: DataFrame, ticks: DataFrame, evidence: DataFrame, gaps
     and the request (or what brackets it), a stalled feed, a halted market, a late venue, a stale book, and the benchmark's own reasons.
     p_num / p_den is exact. The spread is told even where there is no price.
     """
-    state = book_state(requests, ticks, evidence)
+    requests = held(requests)
+    state = held(book_state(requests, ticks, evidence))
     x = requests.join(state, ["instrument", "as_of_ms"], "left").withColumn("d", F.explode(_definitions(defs))).select("*", "d.*").drop("d")
     stream = F.col("source") == "stream"
     x = x.withColumns({"quote_age_ms": F.col("as_of_ms") - F.col("tick.observed_ms"), "liveness_age_ms": F.col("as_of_ms") - F.col("last_ms")})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import american_odds, ladder, rational
+from ..functions.tables import held
 from . import closes, facts, identity
 from .closes import LiveDef
 
@@ -60,7 +61,7 @@ def close_prices(f: Facts, defs: list[LiveDef], max_span_ms: int = facts.MAX_SPA
     x = x.withColumn("off_reason", F.when(F.col("_seen").isNull(), "no_trusted_off").otherwise(F.col("off_reason"))).drop("_seen")
     named = F.array(*(F.struct(F.lit(d.name).alias("def_name"), F.lit(1000 * d.buffer_s).cast("long").alias("buffer_ms")) for d in defs))
     x = x.withColumn("d", F.explode(named)).select("*", "d.*").drop("d").withColumn("cutoff_ms", F.col("earliest") - F.col("buffer_ms"))
-    x = x.withColumn("request_id", F.concat_ws("/", "outcome_id", "venue", "buffer_ms"))
+    x = held(x.withColumn("request_id", F.concat_ws("/", "outcome_id", "venue", "buffer_ms")))
     asked = x.where("off_reason is null and reason is null").select("request_id", "venue", "native_id", "instrument", "side", F.col("cutoff_ms").alias("as_of_ms")).distinct()
     got = _priced(f, asked, defs, open_status).withColumnRenamed("reason", "book_reason")
     out = x.join(got, ["request_id", "def_name"], "left")
@@ -87,9 +88,9 @@ def scores(f: Facts, closes_: DataFrame, defs: list[LiveDef], open_status: dict[
 
     e = e.withColumn("venue", F.explode(F.array(*map(F.lit, REF_VENUES))))
     r = identity.lookup(e.select("venue", "outcome_id").distinct(), refs).withColumnRenamed("reason", "ref_reason")
-    e = e.join(r, ["venue", "outcome_id"]).withColumn("request_id", F.concat_ws("/", "entry_id", "venue"))
+    e = held(e.join(r, ["venue", "outcome_id"]).withColumn("request_id", F.concat_ws("/", "entry_id", "venue")))
     asked = e.where("ref_reason is null").select("request_id", "venue", "native_id", "instrument", "side", F.col("decision_ms").alias("as_of_ms"))
-    at = _priced(f, asked, defs, open_status).select("request_id", "def_name", F.col("p_num").alias("r_num"), F.col("p_den").alias("r_den"), F.col("tick_id").alias("ref_tick_id"), F.col("reason").alias("at_reason"))
+    at = held(_priced(f, asked, defs, open_status)).select("request_id", "def_name", F.col("p_num").alias("r_num"), F.col("p_den").alias("r_den"), F.col("tick_id").alias("ref_tick_id"), F.col("reason").alias("at_reason"))
     c = closes_.select("outcome_id", "venue", "def_name", "cutoff_ms", F.col("p_num").alias("c_num"), F.col("p_den").alias("c_den"), F.col("reason").alias("close_reason"))
     x = e.drop("instrument", "side").join(c, ["outcome_id", "venue"]).join(at, ["request_id", "def_name"], "left")
     wide = lambda n: F.col(n).cast("decimal(38,0)")

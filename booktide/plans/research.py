@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import held
 from ..operators import calibration, identity, imports, scoring, stats
 from . import adapters as A
 from .adapters import sql
@@ -89,7 +90,7 @@ def _fraction(num: str, den: str, name: str) -> str:
 )
 def entry_scores(spark, d):
     f = market_facts(spark, d)
-    c = scoring.close_prices(f, DEFS, 25 * DAY, OPEN)
+    c = held(scoring.close_prices(f, DEFS, 25 * DAY, OPEN))
     x = scoring.scores(f, c, DEFS, OPEN)
     return x.select("entry_id", "venue", "def_name", "ref_tick_id", "ref_entry_reason", *(f"{k}_{s}" for k in ("ev", "null_ev", "residual", "q") for s in ("num", "den")), "outlier", "agreement_reason", F.concat_ws(",", "reasons").alias("reasons"))
 
