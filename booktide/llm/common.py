@@ -67,7 +67,22 @@ def kept(df: DataFrame, release: bool = False) -> DataFrame:
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that kept has returned and that nothing reads any more, in place of when the program ends."""
+    for df in tables:
+        entry = (df.sparkSession, df._scratch_path)
+        _scratch.remove(entry)
+        _delete(*entry)
 
 
 def forget() -> None:
@@ -77,9 +92,7 @@ def forget() -> None:
         if spark.sparkContext._jsc is None:  # the session is gone already
             print(f"left behind: {path}", file=sys.stderr)
             continue
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
 
 
 atexit.register(forget)
@@ -142,7 +155,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         down = kept(large.where("u <> v").distinct())
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = kept(small.where("u <> v").distinct())
+        edges, old = kept(small.where("u <> v").distinct()), edges
+        dropped(old, down)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, fresh, kept
+from .common import bounded, components, dropped, fresh, kept
 
 #: Characters of a shingle; lines link at this Jaccard similarity or above.
 CHARS, SIMILARITY = 8, 0.8
@@ -15,6 +16,10 @@ CHARS, SIMILARITY = 8, 0.8
 BANDS, ROWS = 12, 5
 #: Shingles that are taken at a time: their least hash is found before the row goes into the aggregate.
 CHUNK = 8
+#: Shingles that are cut at a time where all of them are kept.
+PART = 32
+#: Bands that are grouped at a time: their rows are on disk together.
+ROUND = 3
 #: Lines of a band that are paired at once; larger bands are dealt out as pairs of blocks.
 BLOCK = 512
 #: Rows of a few longs that may be broadcast (32 MB).
@@ -41,7 +46,12 @@ def _cut(df: DataFrame, line: str) -> DataFrame:
     Characters are units of UTF-16; those beyond the basic plane count as two. A line of fewer than CHARS characters is its own shingle.
     """
     raw = made(df, raw=F.encode(spaced(F.col(line)), "UTF-16BE"))
-    return raw.withColumn("last", F.greatest((F.octet_length("raw") / 2).cast("int") - CHARS, F.lit(0)))
+    return raw.withColumn("last", _last(F.col("raw")))
+
+
+def _last(raw: Column) -> Column:
+    """The place of the last shingle of a line in UTF-16."""
+    return F.greatest((F.octet_length(raw) / 2).cast("int") - CHARS, F.lit(0))
 
 
 def _shingle(at: Column) -> Column:
@@ -77,18 +87,36 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
+def _hashes(lines: DataFrame, key: list[str]) -> DataFrame:
+    """key and xs for parts of each line of lines (key, line): arrays that together hold the hashes of all of its shingles, some more than once.
+
+    They are cut by compiled code, PART at a time; a function over the places of a line would be interpreted.
+    """
+    cut = _cut(lines, "line").select(*key, "raw", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(PART))).alias("i"))
+    return cut.select(*key, F.array(*(_shingle(F.least(F.col("i") + k, "last")) for k in range(PART))).alias("xs"))
+
+
+def _sized(texts: DataFrame) -> DataFrame:
+    """texts (id, line) with size, the number of distinct shingles."""
+    sizes = _hashes(texts.repartition("id"), ["id"]).groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("xs")))).alias("size"))
+    return texts.join(sizes, "id")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line.
+    """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line, size.
 
-    A pair's shingles are rows of one task: each distinct one is marked by the sides that have it, and marks are counted.
+    A pair whose sizes alone keep it under SIMILARITY is not compared. Of the others the shingles are gathered and counted pair by pair in
+    the task that cuts them: nothing but the texts goes through a shuffle.
     """
-    side = lambda i, s: texts.select(F.col("id").alias(i), F.col("line").alias(s))
-    both = pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").repartition("a", "b")
-    lines = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("line")), F.struct(F.lit(2).alias("side"), F.col("q").alias("line")))).alias("s")).select("a", "b", "s.side", "s.line")
-    cut = _cut(lines, "line").select("a", "b", "side", "raw", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
-    marks = cut.select("a", "b", "side", _shingle(F.col("i")).alias("x")).groupBy("a", "b", "x").agg(F.bit_or("side").alias("sides"))
-    counts = marks.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sides") == 3).alias("c"))
-    return counts.where(F.col("c") >= SIMILARITY * F.col("n")).select("a", "b")
+    side = lambda i, s, n: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("size").alias(n))
+    sizes = lambda i, n: texts.select(F.col("id").alias(i), F.col("size").alias(n))
+    near = pairs.join(sizes("a", "m"), "a").join(sizes("b", "n"), "b").where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n")).select("a", "b")
+    both = near.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").repartition("a", "b")
+    each = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("line")), F.struct(F.lit(2).alias("side"), F.col("q").alias("line"))))
+    parts = _hashes(both.select("a", "b", "m", "n", each.alias("s")).select("a", "b", "m", "n", "s.side", "s.line"), ["a", "b", "m", "n", "side"])
+    of = lambda k: F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("xs"))))
+    common = parts.groupBy("a", "b", "m", "n").agg(F.size(F.array_intersect(of(1), of(2))).alias("c"))
+    return common.where(F.col("c") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b")
 
 
 def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -109,6 +137,20 @@ def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     return kept(both.where("a < b and ga <> gb and (i = j or sa <> sb)").select("a", "b").distinct(), release=True)
 
 
+def _members(signed: DataFrame, bands: range) -> DataFrame:
+    """The lines of signed (id, b0, b1, ...) that share one of these bands with others: id, band, and the band's first and last id and its n lines.
+
+    Bands of one number are alike only to each other (the number is hashed with them), so they can be taken in any rounds.
+    """
+    banded = signed.select("id", F.explode(F.array(*(f"b{b}" for b in bands))).alias("band"))
+    shared = kept(banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
+    names = kept(shared.select("band"))
+    inside = banded.join(bounded(names, WANTED_ROWS), "band", "left_semi")
+    members = kept(inside.join(bounded(shared), "band").select("id", "band", "first", "last", "n"), release=True)
+    dropped(shared, names)
+    return members
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """The distinct lines that repeat or link: h and h2 (hashes of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
@@ -117,24 +159,28 @@ def line_groups(docs: DataFrame) -> DataFrame:
     exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
-    signed = kept(with_bands(lines).select(F.monotonically_increasing_id().alias("id"), "h", "h2", "n", "at", "bands"), release=True)
+    signed = kept(with_bands(lines).select(F.monotonically_increasing_id().alias("id"), "h", "h2", "n", "at", *(F.col("bands")[b].alias(f"b{b}") for b in range(BANDS))), release=True)
 
-    banded = signed.select("id", F.explode("bands").alias("band"))
-    shared = kept(banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
-    inside = banded.join(bounded(kept(shared.select("band")), WANTED_ROWS), "band", "left_semi")
-    members = kept(inside.join(bounded(shared), "band"), release=True)
+    rounds = [_members(signed, range(b, min(b + ROUND, BANDS))) for b in range(0, BANDS, ROUND)]
+    members = functools.reduce(DataFrame.union, rounds)
     wanted = kept(signed.select("id", "h", "h2").join(bounded(kept(members.select("id").distinct()), WANTED_ROWS), "id", "left_semi"))
-    texts = kept(_occurrences(docs).select("h", "h2", "line").join(bounded(wanted, WANTED_ROWS), ["h", "h2"]).groupBy("id").agg(F.first("line").alias("line")), release=True)
+    lines = kept(_occurrences(docs).select("h", "h2", "line").join(bounded(wanted, WANTED_ROWS), ["h", "h2"]).groupBy("id").agg(F.first("line").alias("line")), release=True)
+    texts = kept(_sized(lines))
+    dropped(lines)
 
     near = members.select("id", F.explode(F.array("first", "last")).alias("o")).where("id <> o")
     near = kept(near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), release=True)
     links = kept(_linked(near, texts), release=True)
-    more = kept(_linked(_open_pairs(members.withColumnRenamed("id", "h"), kept(components(links))), texts), release=True)
+    pairs = _open_pairs(members.withColumnRenamed("id", "h"), kept(components(links)))
+    dropped(near, *rounds)
+    more = kept(_linked(pairs, texts), release=True)
+    dropped(pairs, wanted, texts)
 
     group = kept(components(links.union(more)))
     grouped = signed.join(bounded(group), "id", "left").select("h", "h2", "n", "at", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     open_ = kept(grouped.where("n > 1 or many"))
     keep = kept(open_.groupBy("g").agg(F.min("at").alias("keep")))
+    dropped(signed)
     return open_.join(bounded(keep), "g").select("h", "h2", "keep")
 
 

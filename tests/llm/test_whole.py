@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from booktide.llm import line_dedup, toxicity
+from booktide.llm import common, line_dedup, toxicity
 
 
 def _kept(spark, texts):
@@ -56,6 +56,23 @@ def test_line_dedup_open_pairs(spark):
     assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 5)}
 
 
+def test_line_dedup_lets_go_of_its_tables(spark):
+    had = {path for _, path in common._scratch}
+    assert sum(n == 0 for n in _kept(spark, _planted(20, 10)).values()) >= 18
+    left = [set(spark.read.parquet(path).columns) for _, path in common._scratch if path not in had]
+    assert left and not any({"line", "h2", "bands"} & c and "keep" not in c and "g" not in c for c in left)
+
+
+def test_line_dedup_links_are_exact(spark):
+    lines = [*_planted(30, 8), "short", "Short", "", "x" * 300, "x" * 200 + "y" * 100]
+    sets = [{f" {x.lower()}"[i : i + 8] for i in range(max(1, len(x) - 6))} for x in lines]
+    pairs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines))]
+    texts = line_dedup._sized(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    assert {r.id: r.size for r in texts.collect()} == {k: len(s) for k, s in enumerate(sets)}
+    got = {(r.a, r.b) for r in line_dedup._linked(spark.createDataFrame(pairs, "a long, b long"), texts).collect()}
+    assert got == {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
 def test_near_copies_by_row(spark):
     text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
     rows = [(1, text), (1, text), (None, text), (2, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)]
