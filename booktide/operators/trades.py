@@ -22,6 +22,7 @@ def window_vwap(requests: DataFrame, executions: DataFrame, key: str, window_ms:
     """For each request (request_id, key, as_of_ms) the executions in [as_of - window, as_of): n, payout, sum of price * payout, last time.
 
     If both sides have a column side, executions of the other side count at their complement. Times are put into buckets as wide as the window, so that a request meets two buckets and the join stays an equi-join.
+    Both joins are by shuffle: the estimate for exploded requests is far too low, and they would be collected by the driver to be broadcast.
     """
     sided = "side" in requests.columns and "side" in executions.columns
     executions = executions.withColumnRenamed("side", "_side") if sided else executions
@@ -29,10 +30,10 @@ def window_vwap(requests: DataFrame, executions: DataFrame, key: str, window_ms:
     r = requests.withColumn("_b", F.explode(F.array(F.floor(F.col("as_of_ms") / window_ms), F.floor(F.col("as_of_ms") / window_ms) - 1)))
     e = executions.withColumn("_b", F.floor(F.col("time_ms") / window_ms))
     inside = (F.col("time_ms") >= F.col("as_of_ms") - window_ms) & (F.col("time_ms") < F.col("as_of_ms"))
-    got = r.join(e, [key, "_b"]).where(inside).groupBy("request_id").agg(
+    got = r.hint("merge").join(e, [key, "_b"]).where(inside).groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("payout_cents").cast("long").alias("payout"), F.sum(price * F.col("payout_cents")).cast("long").alias("paid"), F.max("time_ms").alias("last_ms")
     )
-    return requests.join(got, "request_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "payout": F.coalesce("payout", F.lit(0))})
+    return requests.hint("merge").join(got, "request_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "payout": F.coalesce("payout", F.lit(0))})
 
 
 def vwap_price(least_n: int, least_cents: int):

@@ -265,3 +265,11 @@ def test_quiet_and_leads(spark):
     assert sorted(tuple(r) for r in p.collect()) == [("probe_sent", "book", "dense", 1), ("probe_sent", "book", "quiet", 1), ("probe_skipped", "book", "unclassified", 1)]
     s = table(spark, "source string, state string", ("x", "OK"), ("x", "WARN"), ("y", "OK"))
     assert {r.source: r.state for r in reports.capture_status(s).collect()} == {"x": "WARN", "y": "OK", None: "WARN"}
+
+
+def test_window_vwap_broadcasts_nothing(spark):
+    r = spark.createDataFrame([("a", 1, 100), ("b", 2, 50)], "request_id string, instrument long, as_of_ms long")
+    e = spark.createDataFrame([(1, 95, 5000, 10), (1, 100, 9000, 10), (1, 89, 1, 1), (1, 90, 6000, 30)], "instrument long, time_ms long, price_e4 int, payout_cents long")
+    out = trades.window_vwap(r, e, "instrument", 10)
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {x.request_id: (x.n, x.payout, x.paid, x.last_ms) for x in out.collect()} == {"a": (2, 40, 230000, 95), "b": (0, 0, None, None)}
