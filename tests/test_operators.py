@@ -268,7 +268,7 @@ def test_quiet_and_leads(spark):
 
 
 def test_window_vwap_broadcasts_nothing(spark):
-    r = spark.createDataFrame([("a", 1, 100), ("b", 2, 50)], "request_id string, instrument long, as_of_ms long")
+    r = spark.sql("SELECT * FROM VALUES ('a', 1L, 100L), ('b', 2L, 50L) AS t(request_id, instrument, as_of_ms)")  # of a known, small size
     e = spark.createDataFrame([(1, 95, 5000, 10), (1, 100, 9000, 10), (1, 89, 1, 1), (1, 90, 6000, 30)], "instrument long, time_ms long, price_e4 int, payout_cents long")
     out = trades.window_vwap(r, e, "instrument", 10)
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
