@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ PART = 32
 ROUND = 3
 #: Lines of a band that are paired at once; larger bands are dealt out as pairs of blocks.
 BLOCK = 512
+#: Words of 64 bits in the marks of a line: one bit is set for each of its shingles.
+MARKS = 16
+MARKED = ["size", "marked", *(f"w{k}" for k in range(MARKS))]
+#: Lines of a band that are compared with all others of it, once its first and last have been; all other pairs follow.
+PICKED = 8
 #: Rows of a few longs that may be broadcast (32 MB).
 WANTED_ROWS = 1_000_000
 
@@ -97,20 +103,42 @@ def _hashes(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _sized(texts: DataFrame) -> DataFrame:
-    """texts (id, line) with size, the number of distinct shingles."""
+    """texts (id, line) with size, the number of distinct shingles, and marks w0, w1, ...: the bits that the shingles' hashes set, marked in all."""
+    parts = _cut(texts.repartition("id"), "line").select("id", "raw", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))).alias("i"))
+    hashed = parts.select("id", *(_shingle(F.least(F.col("i") + k, "last")).alias(f"x{k}") for k in range(CHUNK)))
+    bit = lambda k, w: F.when(F.col(f"x{k}").bitwiseAND(MARKS - 1) == w, F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x{k}, 58) as int))")).otherwise(F.lit(0).cast("long"))
+    words = [F.bit_or(functools.reduce(Column.bitwiseOR, (bit(k, w) for k in range(CHUNK)))).alias(f"w{w}") for w in range(MARKS)]
+    marks = hashed.groupBy("id").agg(*words)
     sizes = _hashes(texts.repartition("id"), ["id"]).groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("xs")))).alias("size"))
-    return texts.join(sizes, "id")
+    marked = functools.reduce(Column.__add__, (F.bit_count(f"w{w}") for w in range(MARKS)))
+    return texts.join(sizes, "id").join(marks.withColumn("marked", marked), "id")
+
+
+def _odd(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """The number of marks that one of two lines has alone. a and b give the columns size, marked, w0, w1, ... of either."""
+    return functools.reduce(Column.__add__, (F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}"))) for k in range(MARKS)))
+
+
+def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """False only for two lines that cannot link.
+
+    For each bit that is set in one line alone there is a shingle that this line has alone, so the sizes less these bits bound what both
+    share: lines of m and n shingles link if they share SIMILARITY / (1 + SIMILARITY) * (m + n) at least.
+    """
+    sizes = F.least(a("size"), b("size")) >= SIMILARITY * F.greatest(a("size"), b("size"))
+    rest = F.least(2 * a("size") - a("marked") + b("marked"), 2 * b("size") - b("marked") + a("marked"))  # twice the bound, but for odd
+    return sizes & (_odd(a, b) <= rest - 2 * SIMILARITY / (1 + SIMILARITY) * (a("size") + b("size")) + 1e-6)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line, size.
+    """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line and what _sized adds.
 
-    A pair whose sizes alone keep it under SIMILARITY is not compared. Of the others the shingles are gathered and counted pair by pair in
-    the task that cuts them: nothing but the texts goes through a shuffle.
+    A pair whose sizes or marks alone keep it under SIMILARITY is not compared. Of the others the shingles are gathered and counted pair by
+    pair in the task that cuts them: nothing but the texts goes through a shuffle.
     """
+    marks = lambda i: texts.select(F.col("id").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in MARKED))
     side = lambda i, s, n: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("size").alias(n))
-    sizes = lambda i, n: texts.select(F.col("id").alias(i), F.col("size").alias(n))
-    near = pairs.join(sizes("a", "m"), "a").join(sizes("b", "n"), "b").where(F.least("m", "n") >= SIMILARITY * F.greatest("m", "n")).select("a", "b")
+    near = pairs.join(marks("a"), "a").join(marks("b"), "b").where(_near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
     both = near.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").repartition("a", "b")
     each = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("line")), F.struct(F.lit(2).alias("side"), F.col("q").alias("line"))))
     parts = _hashes(both.select("a", "b", "m", "n", each.alias("s")).select("a", "b", "m", "n", "s.side", "s.line"), ["a", "b", "m", "n", "side"])
@@ -119,22 +147,49 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.where(F.col("c") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("c"))).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+def _open(members: DataFrame, groups: DataFrame, least: int = 3) -> DataFrame:
+    """The rows of members (h, band, n and others) in bands of more than ``least`` lines that are in several components, with the line's component g."""
+    named = members.where(F.col("n") > least).join(bounded(groups, WANTED_ROWS), F.col("h") == F.col("id"), "left").select(*members.columns, F.coalesce("component", "h").alias("g"))
+    named = kept(named)
+    mixed = kept(named.groupBy("band").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("band"))
+    return named.join(bounded(mixed, WANTED_ROWS), "band", "left_semi")
+
+
+def _picked_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components: of each large open band PICKED lines, the first by hash of as many shares, with all others."""
+    inside = _open(members, groups, 4 * PICKED)
+    order = F.xxhash64("h", F.lit(PICKED))
+    first = inside.groupBy("band", F.pmod(order, F.lit(PICKED)).alias("share")).agg(F.min(F.struct(order.alias("o"), "h", "g")).alias("first"))
+    first = kept(first.select("band", F.col("first.h").alias("one"), F.col("first.g").alias("of")))
+    pairs = inside.join(bounded(first, WANTED_ROWS), "band").where("g <> of")
+    return kept(pairs.select(F.least("h", "one").alias("a"), F.greatest("h", "one").alias("b")).distinct(), release=True)
+
+
+def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """The pairs (a, b) of lines that share a band and are in different components of groups, each once.
 
     members has h (a line), band and the band's n lines, of which the smallest and the largest have been compared with all others; so bands of
-    up to three lines are done. Large bands are dealt out as pairs of blocks: rows dealt and pairs grow with the square of such a band.
+    up to three lines are done. Large bands are dealt out as pairs of blocks: rows dealt and pairs looked at grow with the square of such a
+    band. texts: the sizes and marks of all lines (see _sized); pairs that these rule out are not made, the others
+    get odd, the number of marks that differ.
     """
-    named = members.where("n > 3").join(bounded(groups), F.col("h") == F.col("id"), "left").select("h", "band", "n", F.coalesce("component", "h").alias("g"))
-    named = kept(named)
-    mixed = named.groupBy("band").agg(F.min("g").alias("_g0"), F.max("g").alias("_g1")).where("_g0 < _g1").select("band")
+    marks = MARKED if texts else []
+    named = _open(members.select("h", "band", "n"), groups)
+    if texts:
+        named = named.join(texts.select(F.col("id").alias("h"), *marks), "h")
     blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = named.join(bounded(kept(mixed), WANTED_ROWS), "band", "left_semi").withColumn("side", F.pmod(F.xxhash64("h"), blocks))
+    dealt = named.withColumn("side", F.pmod(F.xxhash64("h"), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = kept(dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "h", "g", "side"))
-    one = lambda i, g, s: dealt.select("band", "i", "j", F.col("h").alias(i), F.col("g").alias(g), F.col("side").alias(s))
-    both = one("a", "ga", "sa").hint("merge").join(one("b", "gb", "sb"), ["band", "i", "j"])
-    return kept(both.where("a < b and ga <> gb and (i = j or sa <> sb)").select("a", "b").distinct(), release=True)
+    dealt = kept(dealt.select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "h", "g", "side", *marks))
+    one = lambda s: dealt.select("band", "i", "j", *(F.col(c).alias(f"{s}_{c}") for c in ("h", "g", "side", *marks)))
+    which = F.expr("a_h < b_h and a_g <> b_g and (i = j or a_side <> b_side)")
+    if texts:
+        of = (lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
+        which = which & _near(*of)
+    both = one("a").hint("merge").join(one("b"), ["band", "i", "j"]).where(which)
+    pairs = kept(both.select(F.col("a_h").alias("a"), F.col("b_h").alias("b"), *([_odd(*of).alias("odd")] if texts else [])).distinct(), release=True)
+    dropped(dealt)
+    return pairs
 
 
 def _members(signed: DataFrame, bands: range) -> DataFrame:
@@ -151,12 +206,29 @@ def _members(signed: DataFrame, bands: range) -> DataFrame:
     return members
 
 
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that are in different components."""
+    of = lambda c: bounded(groups, WANTED_ROWS).select(F.col("id").alias(c), F.col("component").alias(f"g{c}"))
+    named = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+
+
+def _grown(group: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The components (id, component) of group once those of pairs that link are joined. pairs and group are deleted."""
+    links = kept(_linked(pairs, texts), release=True)
+    more = links if group is None else links.union(group.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    out = kept(components(more))
+    dropped(pairs, links, *([] if group is None else [group]))
+    return out
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """The distinct lines that repeat or link: h and h2 (hashes of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
     Lines of equal text are one (told apart by 128 bits) and get a number. The signature is of all shingles (see with_bands). Lines that share a band are first compared with the band's smallest and its largest number, which joins large
-    groups of near copies along stars; then all pairs of a band that are not in one component yet (see _open_pairs). A link needs the
-    exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
+    groups of near copies along stars; then with lines picked from a band that is not in one component yet (see _picked_pairs). Of all its
+    pairs of different components that marks leave possible (see _open_pairs), each line's nearest is compared, then what is apart still.
+    A link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
     signed = kept(with_bands(lines).select(F.monotonically_increasing_id().alias("id"), "h", "h2", "n", "at", *(F.col("bands")[b].alias(f"b{b}") for b in range(BANDS))), release=True)
@@ -170,13 +242,19 @@ def line_groups(docs: DataFrame) -> DataFrame:
 
     near = members.select("id", F.explode(F.array("first", "last")).alias("o")).where("id <> o")
     near = kept(near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), release=True)
-    links = kept(_linked(near, texts), release=True)
-    pairs = _open_pairs(members.withColumnRenamed("id", "h"), kept(components(links)))
-    dropped(near, *rounds)
-    more = kept(_linked(pairs, texts), release=True)
-    dropped(pairs, wanted, texts)
+    group = _grown(None, near, texts)
+    members = members.select(F.col("id").alias("h"), "band", "n")
+    if (members.agg(F.max("n")).first()[0] or 0) > 4 * PICKED:
+        group = _grown(group, _picked_pairs(members, group), texts)
+    pairs = _open_pairs(members, group, texts)
+    ends = [pairs.select(F.col(c).alias("of"), F.struct("odd", "a", "b").alias("pair")) for c in ("a", "b")]
+    nearest = kept(ends[0].union(ends[1]).groupBy("of").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
+    group = _grown(group, nearest, texts)
+    rest = kept(_apart(pairs, group))
+    dropped(pairs)
+    group = _grown(group, rest, texts)
+    dropped(wanted, texts, *rounds)
 
-    group = kept(components(links.union(more)))
     grouped = signed.join(bounded(group), "id", "left").select("h", "h2", "n", "at", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     open_ = kept(grouped.where("n > 1 or many"))
     keep = kept(open_.groupBy("g").agg(F.min("at").alias("keep")))

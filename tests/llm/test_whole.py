@@ -56,6 +56,35 @@ def test_line_dedup_open_pairs(spark):
     assert got == {(a, b) for a in range(1, 6) for b in range(a + 1, 6)} - {(1, 5)}
 
 
+def test_line_dedup_marks_rule_out_no_link(spark):
+    r, lines = random.Random(3), []
+    for _ in range(4):
+        base = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=r.choice((40, 120, 400))))
+        for _ in range(12):
+            x = list(base)
+            for _ in range(r.randint(0, 5)):
+                x[r.randrange(len(x))] = "#"
+            lines.append("".join(x))
+    lines = sorted({" ".join(x.split()) for x in lines})
+    sets = [{f" {x}"[i : i + 8] for i in range(max(1, len(x) - 6))} for x in lines]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(lines)) for b in range(a + 1, len(lines))}
+    texts = common.kept(line_dedup._sized(spark.createDataFrame(list(enumerate(lines)), "id long, line string")))
+    members = spark.createDataFrame([(k, 7, len(lines)) for k in range(len(lines))], "h long, band long, n long")
+    none = common.kept(spark.createDataFrame([], "id long, component long"))
+    got = {(x.a, x.b) for x in line_dedup._open_pairs(members, none, texts).collect()}
+    assert {k for k, v in near.items() if v >= 0.8} <= got <= {k for k, v in near.items() if v >= 0.6} and len(got) < len(near) / 4
+
+
+def test_line_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    r, base, seen, linked = random.Random(5), [f"w{k}x" for k in range(60)], [], line_dedup._linked
+    texts = [" ".join(w if r.random() > 0.04 else f"v{r.randrange(9999)}" for w in base) for _ in range(200)]
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, texts: (seen.append(pairs.count()), linked(pairs, texts))[1])
+    sets = [{f" {x}"[i : i + 8] for i in range(len(x) - 6)} for x in texts]
+    alone = sum(all(k == j or len(s & t) < 0.8 * len(s | t) for j, t in enumerate(sets)) for k, s in enumerate(sets))
+    got = _kept(spark, texts)
+    assert sum(seen) < 200 * 199 / 2 / 4 and 1 <= sum(got.values()) <= alone + 8
+
+
 def test_line_dedup_lets_go_of_its_tables(spark):
     had = {path for _, path in common._scratch}
     assert sum(n == 0 for n in _kept(spark, _planted(20, 10)).values()) >= 18
