@@ -8,8 +8,8 @@ import re
 import struct
 from collections.abc import Callable
 
-#: Bytes that remembered strings and their ids may take, about; then the cache starts anew.
-REMEMBERED = 32 << 20
+#: Bytes that remembered strings and their ids may take, about. At half of it those not asked for since the half before are forgotten.
+REMEMBERED = 96 << 20
 #: What an entry takes besides its characters and ids: two objects and its share of the table.
 _ENTRY = 250
 #: Only of these characters is a string split here; others, and strings like special tokens, go to the library whole.
@@ -38,32 +38,37 @@ class _Cache(dict):
             raise ValueError("this file parts words by another pattern")
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or r"(?!)")
         self.letters = str.maketrans({chr(b): x for b, x in _bytes_as_letters().items()})
-        self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
         self.model = self.whole.model
 
     def __missing__(self, text: str) -> bytes:
-        if self.held >= REMEMBERED:
-            self.clear()
-            self.parts.clear()
-            self.held = 0
-        if _PLAIN.fullmatch(text) and not self.special.search(text):
-            low, parts = text.lower(), self.parts  # these characters are in normal form C already
-            out = (parts.get(low) or self.part(low)) if low.isalpha() else b"".join([parts.get(p) or self.part(p) for p in _PIECE.findall(low)])
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= 100:
-            self[text] = out
-            self.held += _ENTRY + len(text) + len(out)
+        out = self.before.get(text)
+        if out is None:
+            if _PLAIN.fullmatch(text) and not self.special.search(text):
+                low = text.lower()  # these characters are in normal form C already
+                # a piece of a string is a string of one piece, so both are remembered in one place
+                out = self.part(low) if low.isalpha() else b"".join([self.get(p) or self.before.get(p) or self.part(p, True) for p in _PIECE.findall(low)])
+            else:
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+                out = struct.pack(f"<{len(ids)}I", *ids)
+        self.remember(text, out)
         return out
 
-    def part(self, text: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+    def remember(self, text: str, out: bytes) -> None:
+        if len(text) > 100:
+            return
+        if self.held >= REMEMBERED // 2:
+            self.before, self.held = dict(self), 0
+            self.clear()
+        self[text] = out
+        self.held += _ENTRY + len(text) + len(out)
+
+    def part(self, text: str, remember: bool = False) -> bytes:
+        ids = [t.id for t in self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.letters))]
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= 100:
-            self.parts[text] = out
-            self.held += _ENTRY + len(text) + len(out)
+        if remember and not self.special.search(text):
+            self.remember(text, out)
         return out
 
 

@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from booktide.llm import common, line_dedup, toxicity
+from booktide.llm import common, line_dedup, tokens, toxicity
 
 
 def _kept(spark, texts):
@@ -122,3 +122,16 @@ def test_nothing_learnt_drops_nothing(spark):
     docs = spark.createDataFrame([(1, "a clean text"), (2, ""), (3, None)], "doc_id long, text string")
     weights = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.clean(docs, weights).count() == 3
+
+
+def test_tokens_remembered_once_and_kept_while_asked_for(monkeypatch):
+    path = corpus_pipeline.queries.tokenizer()
+    monkeypatch.setattr(tokens, "REMEMBERED", 40_000)
+    cache, seen = tokens._Cache(path), []
+    part = cache.part
+    monkeypatch.setattr(cache, "part", lambda text, *more: (seen.append(text), part(text, *more))[1], raising=False)
+    texts = [f"often word{k} {'abcdefghij'[k % 10]}{chr(97 + k // 10 % 26)}{chr(97 + k // 260)}z, don't OFTEN caf\xe9 中" for k in range(500)]
+    for text in texts:
+        want = cache.whole.encode(text, add_special_tokens=False).ids
+        assert b"".join(map(cache.__getitem__, text.split(" "))) == b"".join(i.to_bytes(4, "little") for i in want)
+    assert seen.count("often") == 2 and cache.held <= 40_000 and not hasattr(cache, "parts")
