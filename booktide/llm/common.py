@@ -8,7 +8,9 @@ import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +23,7 @@ ARROW_ROWS = 1000
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: dict[str, str] = {}
+_made: ContextVar[list[DataFrame] | None] = ContextVar("_made", default=None)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +72,8 @@ def kept(df: DataFrame, release: bool = False) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
@@ -85,6 +90,20 @@ def dropped(*tables: DataFrame) -> None:
         _delete(*entry)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, tables that kept returns last to its end only, but for those handed to the function that it gives. No other may be read later."""
+    made, stays = [], []
+    token = _made.set(made)
+    try:
+        yield lambda df: (stays.append(df), df)[1]
+    finally:
+        _made.reset(token)
+        dropped(*(df for df in made if not any(df is x for x in stays) and (df.sparkSession, df._scratch_path) in _scratch))
+        if (outer := _made.get()) is not None:
+            outer += stays
+
+
 def forget() -> None:
     """Delete the scratch tables of this program."""
     while _scratch:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, components, dropped, fresh, kept
+from .common import bounded, components, dropped, fresh, kept, scratch
 
 #: Characters of a shingle; lines link at this Jaccard similarity or above.
 CHARS, SIMILARITY = 8, 0.8
@@ -270,12 +270,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     text are one document, and all of them keep what it keeps; a null id is an id. n_chars is counted anew if there is such a column. Columns
     of docs that are called n_lines or n_kept stay as they are; the counts then have underscores after their names. An empty table stays empty.
     """
-    groups = kept(line_groups(docs.select("doc_id", "text")))
-    spots = _occurrences(docs.select("doc_id", "text")).select("doc_id", "row", "pos", "h", "h2").join(bounded(groups), ["h", "h2"])
-    spots = spots.where(~F.struct("doc_id", "pos", "row").eqNullSafe(F.col("keep")))
     name = {k: fresh(k, docs.columns) for k in ("n_lines", "n_kept", "_doc", "_row", "_of", "_gone", "_lines", "_left")}
     doc, row, of, gone, lines, left = (name[k] for k in ("_doc", "_row", "_of", "_gone", "_lines", "_left"))
-    away = kept(spots.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(of)).agg(F.collect_set("pos").alias(gone)))
+    with scratch() as stays:
+        groups = kept(line_groups(docs.select("doc_id", "text")), release=True)
+        spots = _occurrences(docs.select("doc_id", "text")).select("doc_id", "row", "pos", "h", "h2").join(bounded(groups), ["h", "h2"])
+        spots = spots.where(~F.struct("doc_id", "pos", "row").eqNullSafe(F.col("keep")))
+        away = stays(kept(spots.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(of)).agg(F.collect_set("pos").alias(gone)), release=True))
     out = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("string"), "text"))
     out = out.join(away, (out[row] == away[of]) & out["doc_id"].eqNullSafe(away[doc]), "left").withColumn(lines, F.split("text", "\n"))
     stays = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))

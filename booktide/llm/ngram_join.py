@@ -8,6 +8,7 @@ that is quoted often) are set aside; documents that cannot do without them are c
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded, components, kept, mapped
+from .common import BROADCAST_ROWS, bounded, components, kept, mapped, scratch
 from .hashing import mixed, shingles, words_of
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
 #: Rows of a tile that are paired as they are; larger tiles are set aside, and what depends on them is compared in pairs of blocks.
 FEW, BLOCK = 16, 512
+#: Rounds in which tiles are gathered: the shuffle files of one are on disk together.
+TILE_ROUNDS = 4
 #: Minimum hashes for the first, approximate round, which joins large groups so that the exact round need not pair their members.
 ROUNDS = 4
 #: Bits of the smallest bitmap.
@@ -164,10 +167,17 @@ def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, words: int, pe
 
 
 def _open_tiles(named: DataFrame) -> DataFrame:
-    """The rows of tiles that hold several groups: tile, n (its rows), id, size, group, give, parts, band. named: id, size, group, tiles."""
-    placed = named.select("id", "size", "group", F.posexplode("tiles").alias("band", "t")).select("id", "size", "group", "band", "t.give", "t.parts", F.explode("t.keys").alias("tile"))
-    tiles = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("tile", "n")
-    return kept(placed.join(bounded(kept(tiles, release=True), WANTED_ROWS), "tile"), release=True)
+    """The rows of tiles that hold several groups: tile, n (its rows), id, size, group, give, parts, band. named: id, size, group, tiles.
+
+    Tiles are taken in TILE_ROUNDS rounds by their key, so a round's shuffle files have gone when the next one starts.
+    """
+    every = named.select("id", "size", "group", F.posexplode("tiles").alias("band", "t")).select("id", "size", "group", "band", "t.give", "t.parts", F.explode("t.keys").alias("tile"))
+    rounds = []
+    for k in range(TILE_ROUNDS):
+        placed = every.where(F.pmod("tile", F.lit(TILE_ROUNDS)) == k)
+        tiles = kept(placed.groupBy("tile").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("g"), F.max("group").alias("h")).where("g < h").select("tile", "n"), release=True)
+        rounds.append(kept(placed.join(bounded(tiles, WANTED_ROWS), "tile"), release=True))
+    return functools.reduce(DataFrame.union, rounds)
 
 
 def _tile_pairs(tiles: DataFrame, percent: int) -> DataFrame:
@@ -265,8 +275,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     FEW rows are paired by size and component, and settled; larger ones are left out, and documents that have too few keys without them
     are compared in blocks (see _crowded): there, rows dealt and pairs grow with a cluster's rows times those outside its largest component. Repeated rows each get a
     row; rows that share an id share a component through their smallest; a null id is carried along and never an answer for others. An
-    empty table gives none; other columns of docs play no part.
+    empty table gives none; other columns of docs play no part. The rows are a scratch table; all others of the join are gone when it returns.
     """
+    with scratch() as stays:
+        return stays(kept(_components(docs, words, percent), release=True))
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """What jaccard_components returns, as a plan over scratch tables."""
     every = kept(_signed(docs, words, percent))
     full = every.where("size > 0 and id is not null")
     copies = kept(full.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("f1", "f2", "first"))

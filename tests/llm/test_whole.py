@@ -6,7 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from booktide.llm import common, line_dedup, tokens, toxicity
+from booktide.llm import common, line_dedup, ngram_join, tokens, toxicity
 
 
 def _kept(spark, texts):
@@ -118,6 +118,51 @@ def test_mix_by_row(spark, tmp_path):
     assert got == Counter({(r.doc_id, r.text): r.taken // r.size for r in mixed if r.taken}) and any(k is None for k, _ in got)
 
 
+def _new_tables(had):
+    return [path for _, path in common._scratch if path not in had]
+
+
+def test_stages_leave_what_their_rows_come_from(spark, tmp_path):
+    spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = [" ".join(f"w{k % 30}x{j}" for j in range(40)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    had = {path for _, path in common._scratch}
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert len(_new_tables(had)) == 2 and sorted(r.doc_id for r in out.collect()) == list(range(30))
+    had = {path for _, path in common._scratch}
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path))
+    assert len(_new_tables(had)) == 2 and 60 <= out.count() <= 180
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().toString()  # small tables take the way of large ones
+    had = {path for _, path in common._scratch}
+    out = ngram_join.jaccard_components(docs)
+    assert len(_new_tables(had)) == 1 and {(r.doc_id, r.component_id) for r in out.collect()} == {(k, k % 30) for k in range(60)}
+
+
+def test_scratch_tables_of_an_outer_scope_stay(spark):
+    with common.scratch() as outer:
+        a = common.kept(spark.range(3))
+        with common.scratch() as inner:
+            b, c = inner(common.kept(spark.range(4))), common.kept(spark.range(5))
+        assert a.count() == 3 and b.count() == 4
+        outer(b)
+    paths = {path for _, path in common._scratch}
+    assert b.count() == 4 and b._scratch_path in paths and not {a._scratch_path, c._scratch_path} & paths
+
+
+def test_open_tiles_in_rounds(spark, monkeypatch):
+    r, seen, kept = random.Random(4), [], ngram_join.kept
+    rows = [(k, 9, k % 7, [{"give": 2, "parts": 3, "keys": [r.randrange(-40, 40) for _ in range(3)]} for _ in range(2)]) for k in range(60)]
+    named = spark.createDataFrame(rows, "id long, size long, group long, tiles array<struct<give: int, parts: int, keys: array<long>>>")
+    monkeypatch.setattr(ngram_join, "kept", lambda df, release=False: (seen.append(out := kept(df, release)), out)[1])
+    got = Counter((x.tile, x.n, x.id, x.group, x.band) for x in ngram_join._open_tiles(named).collect())
+    every = [(key, k, g, band) for k, _, g, tiles in rows for band, t in enumerate(tiles) for key in t["keys"]]
+    size, groups = Counter(e[0] for e in every), {}
+    for key, _, g, _ in every:
+        groups.setdefault(key, set()).add(g)
+    assert got == Counter((key, size[key], k, g, band) for key, k, g, band in every if len(groups[key]) > 1)
+    assert max(x.count() for x in seen) < sum(got.values()) / 2  # no round holds most of the rows
+
+
 def test_nothing_learnt_drops_nothing(spark):
     docs = spark.createDataFrame([(1, "a clean text"), (2, ""), (3, None)], "doc_id long, text string")
     weights = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
