@@ -23,9 +23,9 @@ PART = 32
 ROUND = 3
 #: Lines of a band that are paired at once; larger bands are dealt out as pairs of blocks.
 BLOCK = 512
-#: Words of 64 bits in the marks of a line: one bit is set for each of its shingles.
+#: Words of 64 bits in the marks of a line: each of its shingles turns one bit over.
 MARKS = 16
-MARKED = ["size", "marked", *(f"w{k}" for k in range(MARKS))]
+MARKED = ["size", *(f"w{k}" for k in range(MARKS))]
 #: Lines of a band that are compared with all others of it, once its first and last have been; all other pairs follow.
 PICKED = 8
 #: Rows of a few longs that may be broadcast (32 MB).
@@ -103,31 +103,28 @@ def _hashes(lines: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _sized(texts: DataFrame) -> DataFrame:
-    """texts (id, line) with size, the number of distinct shingles, and marks w0, w1, ...: the bits that the shingles' hashes set, marked in all."""
-    parts = _cut(texts.repartition("id"), "line").select("id", "raw", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(CHUNK))).alias("i"))
-    hashed = parts.select("id", *(_shingle(F.least(F.col("i") + k, "last")).alias(f"x{k}") for k in range(CHUNK)))
+    """texts (id, line) with size, the number of distinct shingles, and marks w0, w1, ...: each distinct shingle turns over the bit of its hash."""
+    sets = _hashes(texts.repartition("id"), ["id"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("xs"))).alias("xs"))
+    parts = sets.select("id", "xs", F.size("xs").alias("size"), F.explode(F.sequence(F.lit(0), F.size("xs") - 1, F.lit(CHUNK))).alias("i"))
+    hashed = parts.select("id", "size", *(F.get("xs", F.col("i") + k).alias(f"x{k}") for k in range(CHUNK)))  # null beyond the end
     bit = lambda k, w: F.when(F.col(f"x{k}").bitwiseAND(MARKS - 1) == w, F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x{k}, 58) as int))")).otherwise(F.lit(0).cast("long"))
-    words = [F.bit_or(functools.reduce(Column.bitwiseOR, (bit(k, w) for k in range(CHUNK)))).alias(f"w{w}") for w in range(MARKS)]
-    marks = hashed.groupBy("id").agg(*words)
-    sizes = _hashes(texts.repartition("id"), ["id"]).groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("xs")))).alias("size"))
-    marked = functools.reduce(Column.__add__, (F.bit_count(f"w{w}") for w in range(MARKS)))
-    return texts.join(sizes, "id").join(marks.withColumn("marked", marked), "id")
+    words = [F.bit_xor(functools.reduce(Column.bitwiseXOR, (bit(k, w) for k in range(CHUNK)))).alias(f"w{w}") for w in range(MARKS)]
+    return texts.join(hashed.groupBy("id").agg(F.max("size").alias("size"), *words), "id")
 
 
 def _odd(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-    """The number of marks that one of two lines has alone. a and b give the columns size, marked, w0, w1, ... of either."""
+    """The number of marks in which two lines differ. a and b give the columns size, w0, w1, ... of either."""
     return functools.reduce(Column.__add__, (F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}"))) for k in range(MARKS)))
 
 
 def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """False only for two lines that cannot link.
 
-    For each bit that is set in one line alone there is a shingle that this line has alone, so the sizes less these bits bound what both
-    share: lines of m and n shingles link if they share SIMILARITY / (1 + SIMILARITY) * (m + n) at least.
+    What both share turns the same bits over in both. So a bit that differs takes at least one shingle that one line has alone, and lines
+    of m and n shingles link if these are at most (1 - SIMILARITY) / (1 + SIMILARITY) * (m + n).
     """
     sizes = F.least(a("size"), b("size")) >= SIMILARITY * F.greatest(a("size"), b("size"))
-    rest = F.least(2 * a("size") - a("marked") + b("marked"), 2 * b("size") - b("marked") + a("marked"))  # twice the bound, but for odd
-    return sizes & (_odd(a, b) <= rest - 2 * SIMILARITY / (1 + SIMILARITY) * (a("size") + b("size")) + 1e-6)
+    return sizes & (_odd(a, b) <= (1 - SIMILARITY) / (1 + SIMILARITY) * (a("size") + b("size")) + 1e-6)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -75,6 +75,34 @@ def test_line_dedup_marks_rule_out_no_link(spark):
     assert {k for k, v in near.items() if v >= 0.8} <= got <= {k for k, v in near.items() if v >= 0.6} and len(got) < len(near) / 4
 
 
+def test_line_dedup_marks_rule_out_pairs_just_under_a_link(spark):
+    r, lines = random.Random(6), []
+    base = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=700))
+    for _ in range(60):
+        x = list(base)
+        for _ in range(8):
+            x[r.randrange(len(x))] = "#"
+        lines.append("".join(x))
+    sets = [{f" {x}"[i : i + 8] for i in range(len(x) - 6)} for x in lines]
+    near = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(60) for b in range(a + 1, 60)}
+    texts = common.kept(line_dedup._sized(spark.createDataFrame(list(enumerate(lines)), "id long, line string")))
+    members = spark.createDataFrame([(k, 7, 60) for k in range(60)], "h long, band long, n long")
+    none = common.kept(spark.createDataFrame([], "id long, component long"))
+    got = {(x.a, x.b) for x in line_dedup._open_pairs(members, none, texts).collect()}
+    assert {k for k, v in near.items() if v >= 0.8} <= got <= {k for k, v in near.items() if v >= 0.72}
+    assert sum(0.7 <= v < 0.8 for v in near.values()) > 1000 and sum(near[k] < 0.8 for k in got) < 500
+
+
+def test_line_dedup_marks_of_repeated_shingles(spark):
+    r, lines = random.Random(8), ["x" * 300, "x" * 301 + "y", "ab" * 100, "ab" * 100 + "a", "again and " * 3, "again and " * 30]
+    lines += ["".join(r.choices("ab", k=k)) for k in (60, 200, 600, 2000)]
+    texts = {x.id: x for x in line_dedup._sized(spark.createDataFrame(list(enumerate(lines)), "id long, line string")).collect()}
+    for k, line in enumerate(lines):
+        own = {f" {line.strip()}"[i : i + 8] for i in range(max(1, len(line.strip()) - 6))}
+        marks = sum((texts[k][f"w{w}"] & (1 << 64) - 1).bit_count() for w in range(line_dedup.MARKS))
+        assert texts[k].size == len(own) and marks <= len(own) and (marks - len(own)) % 2 == 0
+
+
 def test_line_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
     r, base, seen, linked = random.Random(5), [f"w{k}x" for k in range(60)], [], line_dedup._linked
     texts = [" ".join(w if r.random() > 0.04 else f"v{r.randrange(9999)}" for w in base) for _ in range(200)]
