@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table whose size is counted first may be broadcast.
 BROADCAST_ROWS = 50_000
+#: Links up to which components are found in one task, without a shuffle (3 MB).
+LINKS_IN_ONE = 200_000
 #: Rows of a batch that goes to Python.
 ARROW_ROWS = 1000
 
@@ -163,24 +165,27 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternating large-star and small-star rounds: each node passes its smallest neighbour on to the others, so a path shrinks by a
     constant factor in a round. Each round is written to the shared folder. A node's neighbours are only ever met through partial
-    aggregation (min), never gathered; the driver sees one count for each round.
+    aggregation (min), never gathered; the driver sees one count for each round. Up to LINKS_IN_ONE links, of which rounds only make
+    fewer, one task takes a round: its shuffles would be many tasks of a few rows, whose records the driver holds.
     """
     edges = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    together = (lambda df: df.coalesce(1)) if edges.count() <= LINKS_IN_ONE else (lambda df: df)
     before = None
     while True:
-        both = edges.union(edges.select("v", "u"))
+        both = together(edges.union(edges.select("v", "u")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = kept(large.where("u <> v").distinct())
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        own = together(down)
+        low = own.groupBy("u").agg(F.min("v").alias("m"))
+        small = together(own.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))))
         edges, old = kept(small.where("u <> v").distinct()), edges
         dropped(old, down)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = together(edges).agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    member = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    member = together(edges).select(F.col("u").alias("id"), F.col("v").alias("component"))
     return member.union(member.select(F.col("component").alias("id"), "component").distinct())
 
 

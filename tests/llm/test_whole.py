@@ -130,6 +130,19 @@ def test_line_dedup_links_are_exact(spark):
     assert got == {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
 
 
+def test_components_of_few_links_take_no_shuffle(spark, monkeypatch):
+    r, plans, kept = random.Random(2), [], common.kept
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, k) for k in range(2001, 2060)] + [(7, 7)]
+    links = spark.createDataFrame(links, "a long, b long")
+    monkeypatch.setattr(common, "kept", lambda df, release=False: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, release))[1])
+    few = {(x.id, x.component) for x in common.components(links).collect()}
+    assert len(plans) > 5 and not any("Exchange" in p for p in plans[1:])
+    monkeypatch.setattr(common, "LINKS_IN_ONE", 0)
+    del plans[:]
+    assert few == {(x.id, x.component) for x in common.components(links).collect()} and any("Exchange" in p for p in plans[1:])
+    assert {(k, 1000) for k in range(1000, 1041)} | {(k, 2000) for k in range(2000, 2060)} <= few
+
+
 def test_near_copies_by_row(spark):
     text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
     rows = [(1, text), (1, text), (None, text), (2, text), (2, other), (None, "alone in here it is"), (3, ""), (4, None)]
