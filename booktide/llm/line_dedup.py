@@ -89,7 +89,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     The outer form spares the filter on the array that Catalyst puts below the other one, which splits each text once more.
     """
     row = F.xxhash64(F.col("doc_id").cast("string"), "text")
-    lines = docs.select("doc_id", row.alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.length(F.trim(F.col("line"))) > 0)
+    lines = docs.select("doc_id", row.alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.trim(F.col("line")) != "")
     return lines.select("doc_id", "row", "pos", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
@@ -127,16 +127,19 @@ def _near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return sizes & (_odd(a, b) <= (1 - SIMILARITY) / (1 + SIMILARITY) * (a("size") + b("size")) + 1e-6)
 
 
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines that sizes and marks alone do not keep under SIMILARITY. texts: id and what _sized adds."""
+    marks = lambda i: texts.select(F.col("id").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in MARKED))
+    return pairs.join(marks("a"), "a").join(marks("b"), "b").where(_near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those distinct pairs (a, b) of lines whose sets of all shingles link. texts: id, line and what _sized adds.
 
-    A pair whose sizes or marks alone keep it under SIMILARITY is not compared. Of the others the shingles are gathered and counted pair by
-    pair in the task that cuts them: nothing but the texts goes through a shuffle.
+    The shingles are gathered and counted pair by pair in the task that cuts them: nothing but the texts goes through a shuffle.
     """
-    marks = lambda i: texts.select(F.col("id").alias(i), *(F.col(c).alias(f"{i}_{c}") for c in MARKED))
     side = lambda i, s, n: texts.select(F.col("id").alias(i), F.col("line").alias(s), F.col("size").alias(n))
-    near = pairs.join(marks("a"), "a").join(marks("b"), "b").where(_near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))).select("a", "b")
-    both = near.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").repartition("a", "b")
+    both = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b").repartition("a", "b")
     each = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("p").alias("line")), F.struct(F.lit(2).alias("side"), F.col("q").alias("line"))))
     parts = _hashes(both.select("a", "b", "m", "n", each.alias("s")).select("a", "b", "m", "n", "s.side", "s.line"), ["a", "b", "m", "n", "side"])
     of = lambda k: F.flatten(F.collect_list(F.when(F.col("side") == k, F.col("xs"))))
@@ -189,18 +192,27 @@ def _open_pairs(members: DataFrame, groups: DataFrame, texts: DataFrame | None =
     return pairs
 
 
-def _members(signed: DataFrame, bands: range) -> DataFrame:
-    """The lines of signed (id, b0, b1, ...) that share one of these bands with others: id, band, and the band's first and last id and its n lines.
+def _members(signed: DataFrame, bands: range) -> tuple[DataFrame, DataFrame]:
+    """Of the lines of signed (id, b0, b1, ...) that share one of these bands with others: pairs (a, b) and members.
 
-    Bands of one number are alike only to each other (the number is hashed with them), so they can be taken in any rounds.
+    pairs: each line of a band with the band's first and its last, a < b, which for up to three lines are all pairs; some more than once.
+    members: id, band and the band's n lines, of bands of more than three lines only: smaller ones are told from their least, greatest and
+    xor of ids. Bands of one number are alike only to each other (the number is hashed with them), so they can be taken in any rounds.
     """
     banded = signed.select("id", F.explode(F.array(*(f"b{b}" for b in bands))).alias("band"))
-    shared = kept(banded.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), release=True)
-    names = kept(shared.select("band"))
+    ends = [F.min("id").alias("first"), F.max("id").alias("last"), F.bit_xor("id").alias("all"), F.count(F.lit(1)).alias("n")]
+    shared = kept(banded.groupBy("band").agg(*ends).where("first < last"), release=True)
+    names = kept(shared.where("n > 3").select("band"))
     inside = banded.join(bounded(names, WANTED_ROWS), "band", "left_semi")
-    members = kept(inside.join(bounded(shared), "band").select("id", "band", "first", "last", "n"), release=True)
+    members = kept(inside.join(bounded(kept(shared.where("n > 3"))), "band").select("id", "band", "first", "last", "n"), release=True)
+    mid = F.col("all").bitwiseXOR(F.col("first")).bitwiseXOR(F.col("last"))
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    few = shared.where("n <= 3").select("first", "last", F.when(F.col("n") == 3, mid).alias("mid"))
+    few = few.select(F.explode(F.array(pair("first", "last"), pair("first", "mid"), pair("mid", "last"))).alias("p")).select("p.a", "p.b").where("a < b")
+    many = members.select(F.explode(F.array(pair("first", "id"), pair("id", "last"))).alias("p")).select("p.a", "p.b").where("a < b")
+    pairs = kept(few.union(many))
     dropped(shared, names)
-    return members
+    return pairs, members
 
 
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -222,27 +234,34 @@ def _grown(group: DataFrame | None, pairs: DataFrame, texts: DataFrame) -> DataF
 def line_groups(docs: DataFrame) -> DataFrame:
     """The distinct lines that repeat or link: h and h2 (hashes of the line) and keep (doc_id, pos and row of the occurrence that stays).
 
-    Lines of equal text are one (told apart by 128 bits) and get a number. The signature is of all shingles (see with_bands). Lines that share a band are first compared with the band's smallest and its largest number, which joins large
-    groups of near copies along stars; then with lines picked from a band that is not in one component yet (see _picked_pairs). Of all its
-    pairs of different components that marks leave possible (see _open_pairs), each line's nearest is compared, then what is apart still.
+    Lines of equal text are one (told apart by 128 bits) and get a number. The signature is of all shingles (see with_bands). Lines that share
+    a band are paired with the band's smallest and its largest number. Of those pairs that sizes and marks leave possible, each line's with the
+    smallest number is compared, which joins large groups of near copies along stars, then what is apart still. Bands of more than three
+    lines can have pairs left: lines of those that are not in one component yet are compared with lines picked from the band (see
+    _picked_pairs). Of all its pairs of different components that marks leave possible (see _open_pairs), each line's nearest is compared,
+    then what is apart still.
     A link needs the exact similarity of all shingles. A component keeps its first occurrence by doc_id (null before all others) and place.
     """
     lines = _occurrences(docs).groupBy("h", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "pos", "row")).alias("at"), F.count(F.lit(1)).alias("n"))
     signed = kept(with_bands(lines).select(F.monotonically_increasing_id().alias("id"), "h", "h2", "n", "at", *(F.col("bands")[b].alias(f"b{b}") for b in range(BANDS))), release=True)
 
     rounds = [_members(signed, range(b, min(b + ROUND, BANDS))) for b in range(0, BANDS, ROUND)]
-    members = functools.reduce(DataFrame.union, rounds)
-    wanted = kept(signed.select("id", "h", "h2").join(bounded(kept(members.select("id").distinct()), WANTED_ROWS), "id", "left_semi"))
+    near = kept(functools.reduce(DataFrame.union, [pairs for pairs, _ in rounds]).distinct(), release=True)
+    members = functools.reduce(DataFrame.union, [x for _, x in rounds]).select(F.col("id").alias("h"), "band", "n")
+    wanted = kept(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    wanted = kept(signed.select("id", "h", "h2").join(bounded(wanted, WANTED_ROWS), "id", "left_semi"))
     lines = kept(_occurrences(docs).select("h", "h2", "line").join(bounded(wanted, WANTED_ROWS), ["h", "h2"]).groupBy("id").agg(F.first("line").alias("line")), release=True)
     texts = kept(_sized(lines))
     dropped(lines)
 
-    near = members.select("id", F.explode(F.array("first", "last")).alias("o")).where("id <> o")
-    near = kept(near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), release=True)
-    group = _grown(None, near, texts)
-    members = members.select(F.col("id").alias("h"), "band", "n")
+    possible = kept(_possible(near, texts), release=True)
+    group = _grown(None, kept(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), texts)
+    group = _grown(group, kept(_apart(possible, group)), texts)
+    dropped(near, possible)
     if (members.agg(F.max("n")).first()[0] or 0) > 4 * PICKED:
-        group = _grown(group, _picked_pairs(members, group), texts)
+        picked = _picked_pairs(members, group)
+        group = _grown(group, kept(_possible(picked, texts)), texts)
+        dropped(picked)
     pairs = _open_pairs(members, group, texts)
     ends = [pairs.select(F.col(c).alias("of"), F.struct("odd", "a", "b").alias("pair")) for c in ("a", "b")]
     nearest = kept(ends[0].union(ends[1]).groupBy("of").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct())
@@ -250,7 +269,7 @@ def line_groups(docs: DataFrame) -> DataFrame:
     rest = kept(_apart(pairs, group))
     dropped(pairs)
     group = _grown(group, rest, texts)
-    dropped(wanted, texts, *rounds)
+    dropped(wanted, texts, *(x for both in rounds for x in both))
 
     grouped = signed.join(bounded(group), "id", "left").select("h", "h2", "n", "at", F.coalesce("component", "id").alias("g"), F.col("component").isNotNull().alias("many"))
     open_ = kept(grouped.where("n > 1 or many"))

@@ -113,6 +113,22 @@ def test_line_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(seen) < 200 * 199 / 2 / 4 and 1 <= sum(got.values()) <= alone + 8
 
 
+def test_line_dedup_compares_a_line_once_with_its_group(spark, monkeypatch):
+    r, seen, linked = random.Random(4), [], line_dedup._linked
+    base = [" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(8)) for _ in range(12)]
+    texts = [x[:k].upper() + x[k:] for x in base for k in range(1, 9) if x[k - 1] != " "]
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, texts: (seen.append(pairs.count()), linked(pairs, texts))[1])
+    assert sum(_kept(spark, texts).values()) == 12 and sum(seen) == len(set(texts)) - 12
+
+
+def test_line_dedup_pairs_of_small_bands(spark):
+    signed = spark.createDataFrame([(1, 10, 20), (5, 10, 21), (9, 11, 22), (12, 11, 22), (17, 11, 22), *((k, 12, 23 + k) for k in range(30, 35))], "id long, b0 long, b1 long")
+    pairs, members = line_dedup._members(signed, range(2))
+    got = Counter((x.a, x.b) for x in pairs.collect())
+    assert set(got) == {(1, 5), (9, 12), (9, 17), (12, 17)} | {(a, b) for a in range(30, 35) for b in range(a + 1, 35) if a == 30 or b == 34}
+    assert {tuple(x) for x in members.select("id", "band", "n").collect()} == {(k, 12, 5) for k in range(30, 35)}
+
+
 def test_line_dedup_lets_go_of_its_tables(spark):
     had = {path for _, path in common._scratch}
     assert sum(n == 0 for n in _kept(spark, _planted(20, 10)).values()) >= 18
